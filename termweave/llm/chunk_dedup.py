@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, mix, utf8, written
+from .common import blocks, mix, small_batches, tidy, utf8, written
 
 CUT_BITS, MIN_CHUNK, MAX_CHUNK = 11, 256, 16384
 WINDOW = 32
@@ -64,6 +64,7 @@ def _chunked(batches: Iterator[pa.RecordBatch], hash_bits: int):
             content = [bytes(view[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
             hashes = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in content), np.uint64, len(content))
             yield batch.slice(i, j - i), counts, (hashes >> np.uint64(64 - hash_bits)).view(np.int64), content
+    tidy()
 
 
 def _recipes(hash_bits: int):
@@ -98,6 +99,7 @@ def _placed(hash_bits: int, wanted: set[int] | None = None):
 
 def _groups(docs: DataFrame, id_col: str, text_col: str, hash_bits: int) -> DataFrame:
     """(doc_id, text_key, keep_id, copies) of the rows whose text occurs more than once."""
+    small_batches(docs.sparkSession)
     text = F.col(text_col).cast("string")
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text")).filter("text IS NOT NULL")
     chunks = own.mapInArrow(_contents(hash_bits), "h long, chunk binary").groupBy("h", "chunk").agg(F.lit(1).alias("one"))

@@ -8,6 +8,7 @@ no Python object is made per word.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import functools
 import tempfile
 import uuid
@@ -19,8 +20,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Bytes of text that numpy works on at once; a longer document is a block of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
+#: Bytes in one Arrow batch between the JVM and a Python worker, unless the session says otherwise.
+BATCH_BYTES = "4m"
 
 
 # --- written tables ---------------------------------------------------------
@@ -68,8 +73,20 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, as documents may be long; a setting other than the default stays.
+
+    It also sees to it that workers can import this package.
+    """
+    ship(spark)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) in (None, "67108864b", "67108864", "64MB", "64m"):
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def two(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only ``doc_id`` and ``text``: other columns of the input can't clash or be read."""
+    small_batches(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
@@ -135,18 +152,30 @@ class Words:
         self.stop = np.flatnonzero(before & (~now | edge))
         self.first = np.searchsorted(self.start, self.off)  # words of document d: first[d]:first[d+1]
         self.doc = np.repeat(np.arange(len(self.off) - 1), np.diff(self.first))
-        chars = np.zeros(len(data) + 1, np.int64)
+        chars = np.zeros(len(data) + 1, np.int32)
         np.cumsum((data & 0xC0) != 0x80, out=chars[1:])
         self.char_at = chars
-        self.chars = chars[self.stop] - chars[self.start]
+        self.chars = (chars[self.stop] - chars[self.start]).astype(np.int64)
         if hashes:
-            self.hash = Rolling(data.astype(np.uint64) + np.uint64(1), _P).of(self.start, self.stop)
+            self.hash = _word_hashes(data, self.start, self.stop)
 
     def left(self) -> np.ndarray:
         """How many words there are from each word to its document's end."""
         return self.first[self.doc + 1] - np.arange(len(self.doc))
 
 
+def _word_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray, span: int = 1 << 17) -> np.ndarray:
+    """Hash of each word's bytes, a span of bytes at a time so that memory stays small."""
+    out = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(stop, start[i] + span, "right")))
+        base = start[i]
+        out[i:j] = Rolling(data[base : stop[j - 1]].astype(np.uint64) + np.uint64(1), _P).of(start[i:j] - base, stop[i:j] - base)
+        i = j
+    return out
+
+
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts, and where each begins (and the last ends)."""
     texts = texts.cast(pa.large_string()) if texts.type != pa.large_string() else texts
@@ -174,6 +203,16 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tu
         for i, j in blocks(column):
             part = column.slice(i, j - i)
             yield batch.slice(i, j - i), pc.fill_null(part, ""), pc.is_null(part)
+    tidy()
+
+
+def tidy() -> None:
+    """Give freed memory back to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def ragged(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches, tidy
+
 THRESHOLD = 0.3
 KERNEL = (0.1, 0.8, 0.1)
 
@@ -139,9 +141,11 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = [(None, 0, 0) if p is None else extract(p) for p in part.column(1).to_pylist()]
             content, count, kept = zip(*found)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(content, pa.string()), pa.array(count, pa.int64()), pa.array(kept, pa.int64())], ["page_id", "content", "n_nodes", "n_content_nodes"])
+    tidy()
 
 
 def extract_content(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(page_id, content, n_nodes, n_content_nodes) of every page. One pass, no shuffle."""
+    small_batches(pages.sparkSession)
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).cast("string").alias("html"))
     return own.mapInArrow(_run, "page_id long, content string, n_nodes long, n_content_nodes long")

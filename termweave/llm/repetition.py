@@ -24,10 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_RE2, Rolling, Words, mix, pieces, two
+from .common import WORD_RE2, Rolling, Words, mix, pieces, small_batches, two
 
 #: Largest allowed share in percent.
 TOP = {2: 20, 3: 18, 4: 16}
@@ -117,6 +117,7 @@ def _keeps(texts: pa.Array) -> pa.Array:
 
 def keeps(text: Column) -> Column:
     """True for texts that pass every rule; false for null."""
+    small_batches(SparkSession.active())
     return F.arrow_udf(_keeps, "boolean")(text.cast("string"))
 
 
