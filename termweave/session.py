@@ -14,8 +14,11 @@ _shipped: set[str] = set()
 def ship(spark: SparkSession) -> SparkSession:
     """Send this package to the executors, once per application.
 
-    The archive is read by the driver alone, which serves it to the executors.
+    The archive is read by the driver alone, which serves it to the executors. It also
+    turns off the partitioning that Spark 4.1 claims for unions, with which adaptive
+    execution can fail ("Can't zip RDDs with unequal numbers of partitions").
     """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         root = Path(__file__).resolve().parent
