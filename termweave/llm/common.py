@@ -1,4 +1,4 @@
-"""Shared parts: written tables that cut lineage, and vectorised word splitting.
+"""Shared parts: batches bounded by bytes, and vectorised word splitting.
 
 Words are maximal runs of ASCII letters, digits and non-ASCII characters of the
 lower-cased text. Splitting and hashing work on whole Arrow buffers with numpy;
@@ -7,11 +7,8 @@ no Python object is made per word.
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import functools
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
+from ..storage import discard, written
+
+__all__ = ["BATCH_BYTES", "BLOCK_BYTES", "Rolling", "WORD_RE2", "Words", "blocks", "discard", "mix", "pieces", "small_batches", "spread", "tidy", "two", "utf8", "written"]
 
 #: Bytes of text that numpy works on at once; a longer document is a block of its own.
 BLOCK_BYTES = 1 << 19
@@ -28,51 +28,6 @@ BLOCK_BYTES = 1 << 19
 BATCH_BYTES = "4m"
 
 
-# --- written tables ---------------------------------------------------------
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only a local session without the setting gets a temporary folder.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return _local_dir()
-
-
-@functools.cache
-def _local_dir() -> str:
-    holder = tempfile.TemporaryDirectory(prefix="termweave-")
-    atexit.register(holder.cleanup)
-    return holder.name
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df computed once, written as Parquet to the shared folder and read again.
-
-    It cuts the lineage like a checkpoint: a lost executor costs no recomputation
-    of what came before.
-    """
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._written_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table made by written() that nothing reads any more."""
-    path = getattr(df, "_written_path", None)
-    if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes, as documents may be long; a setting other than the default stays.
 
@@ -215,13 +170,6 @@ def tidy() -> None:
         pass
 
 
-def ragged(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
-    """A list column from its values and the length of each list."""
-    off = np.zeros(len(counts) + 1, np.int32)
-    np.cumsum(counts, out=off[1:])
-    return pa.ListArray.from_arrays(pa.array(off), pa.array(values, kind))
-
-
 def spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     """start[0], start[0]+1, ... count[0] values, then those of the next."""
     total = int(count.sum())
