@@ -4,7 +4,8 @@ The text nodes of a page are grouped by their tag path from the root. Each path
 has two ratios: characters per node and punctuation marks per node. Both are
 smoothed over the page (a node's value is mixed with its neighbours'), averaged
 again by path, and fused: length * (1 + punctuation). Paths whose fused ratio is
-at least THRESHOLD standard deviations (over the nodes of the page) hold content.
+at least THRESHOLD standard deviations (over the nodes of the page) hold content,
+and so do inline tags (bold, links) right inside them.
 Punctuation is ASCII's. Paths through navigation, footers and form controls are
 boilerplate whatever their ratio, and take no part in the threshold.
 
@@ -112,6 +113,14 @@ def ratios(paths: list[str], texts: list[str]) -> tuple[dict[str, float], float]
     return dict(zip(number, fused.tolist())), THRESHOLD * float(fused[of].std())
 
 
+def _block(path: str) -> str:
+    """The path without the inline tags at its end."""
+    tags = path.split("/")
+    while tags and tags[-1] in _INLINE:
+        tags.pop()
+    return "/".join(tags)
+
+
 def extract(page: str) -> tuple[str, int, int]:
     """(content, text nodes, content nodes) of a page."""
     paths, texts, breaks = nodes(page)
@@ -124,9 +133,10 @@ def extract(page: str) -> tuple[str, int, int]:
     fused, least = ratios([paths[i] for i in own], [texts[i] for i in own])
     out: list[str] = []
     count, pending = 0, False
+    chosen = {p: fused[p] >= least or fused.get(_block(p), -1.0) >= least for p in fused}
     for path, text, fresh in zip(paths, texts, breaks):
         pending |= fresh
-        if wanted[path] and fused[path] >= least:
+        if wanted[path] and chosen[path]:
             out.append("\n" + text if out and pending else text)
             pending = False
             count += 1
