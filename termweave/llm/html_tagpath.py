@@ -11,7 +11,7 @@ boilerplate whatever their ratio, and take no part in the threshold.
 
 Defined cases: a null page has null content and zeros; an empty one, or one
 without text, has empty content; broken markup is read as far as it goes (an
-unclosed comment, script or style reaches to the end); repeated rows give repeated
+unclosed comment, script, style or tag reaches to the end); repeated rows give repeated
 results; a null id stays null; an empty table gives an empty result; other columns
 are ignored.
 """
@@ -32,11 +32,13 @@ from .common import small_batches, tidy
 THRESHOLD = 0.3
 KERNEL = (0.1, 0.8, 0.1)
 
+#: What follows a tag's name: a quote counts after = only; what isn't closed reaches to the end.
+_REST = r"""(?:[^>=]++|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))?+)*+(?:>|\Z)"""
 _MARKUP = re.compile(
-    r"""<!--.*?(?:-->|\Z)
-    |<(script|style|noscript|template|svg|title)\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>.*?(?:</\1\s*+>|\Z)
-    |<[!?][^>]*+>
-    |<(/?)([a-z][a-z0-9:-]*+)(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""",
+    rf"""<!--.*?(?:-->|\Z)
+    |<(script|style|noscript|template|svg|title)\b{_REST}.*?(?:</\1\s*+>|\Z)
+    |<[!?][^>]*+(?:>|\Z)
+    |<(/?)([a-z][a-z0-9:-]*+){_REST}""",
     re.I | re.S | re.X,
 )
 _SPACE = re.compile(r"\s+")
@@ -55,13 +57,13 @@ def nodes(page: str) -> tuple[list[str], list[str], list[bool]]:
     """(path, text, does it begin a new block) of every text node that isn't blank."""
     paths, texts, breaks = [], [], []
     stack: list[str] = []
-    at, path, fresh = 0, "", True
+    at, fresh = 0, True
 
     def add(raw: str) -> None:
         nonlocal fresh
         text = _SPACE.sub(" ", entities.unescape(raw) if "&" in raw else raw)
         if text.strip():
-            paths.append(path)
+            paths.append("/".join(stack))
             texts.append(text)
             breaks.append(fresh)
             fresh = False
@@ -79,7 +81,6 @@ def nodes(page: str) -> tuple[list[str], list[str], list[bool]]:
         if m[2]:
             if tag in stack:
                 del stack[len(stack) - 1 - stack[::-1].index(tag) :]
-                path = "/".join(stack)
             continue
         if closes := _CLOSES.get(tag):
             bounds = _BOUNDS.get(closes[0], _TABLE)
@@ -91,7 +92,6 @@ def nodes(page: str) -> tuple[list[str], list[str], list[bool]]:
                     break
         if tag not in _VOID and not m[0].endswith("/>"):
             stack.append(tag)
-        path = "/".join(stack)
     if at < len(page):
         add(page[at:])
     return paths, texts, breaks
