@@ -82,10 +82,10 @@ def encode_cached(texts: DataFrame, cache: DataFrame | None, encoder: Encoder, s
     """(texts with embedding, new cache rows): only distinct normalised texts that the cache lacks are encoded.
 
     texts: (text, …); cache: (key, text, normalized_text, model_name, source, embedding).
-    The later text of one key names the cache row.
+    The later text of one key names the cache row. A null text has no vector and isn't cached.
     """
     keyed = texts.withColumn("normalized_text", tx.normalize(F.col("text"))).withColumn("key", cache_key(encoder.name, F.col("normalized_text")))
-    need = keyed.groupBy("key").agg(F.max("text").alias("text"), F.first("normalized_text").alias("normalized_text"))
+    need = keyed.filter("key IS NOT NULL").groupBy("key").agg(F.max("text").alias("text"), F.first("normalized_text").alias("normalized_text"))
     known = cache.filter(F.col("model_name") == encoder.name).select("key", "embedding") if cache is not None else None
     if known is not None:
         need = need.join(known.select("key"), "key", "left_anti")

@@ -1,5 +1,5 @@
 """Every query with its SQL (none where SQL can't express it)."""
 
-from . import match, votes, words
+from . import graph, match, reports, votes, words
 
-ALL = {**words.QUERIES, **match.QUERIES, **votes.QUERIES}
+ALL = {**words.QUERIES, **match.QUERIES, **votes.QUERIES, **graph.QUERIES, **reports.QUERIES}
