@@ -156,13 +156,13 @@ def pair_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid distances of part names, each with the vector of its least key's number."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("code"), "embedding")
     items = labels(spark, sf_dir).select(F.col("label").alias("name"), "code").join(e, "code").select("name", "embedding")
-    return clustering.pair_distances(items).withColumn("distance", F.round("distance", 6))
+    return clustering.pair_distances(items)
 
 
 _TOK = "list_distinct(list_filter(string_split_regex(regexp_replace(lower({}), '[-_.:]', ' ', 'g'), '\\s+'), lambda t: t <> ''))"
 PAIR_DISTANCES = f"""WITH {LABELS}, i AS (SELECT labels.label AS name, embedding::DOUBLE[] AS e, {_TOK.format('labels.label')} AS t, regexp_replace(lower(labels.label), '[_ ]', '', 'g') AS w FROM labels JOIN embeddings ON vec_id = code)
-SELECT x.name AS a, y.name AS b, round(round(0.6 * (1 - list_cosine_similarity(x.e, y.e)) / 2 + 0.2 * (1 - len(list_intersect(x.t, y.t))::DOUBLE / len(list_distinct(list_concat(x.t, y.t)))) + 0.1 * levenshtein(x.w, y.w)::DOUBLE / greatest(length(x.w), length(y.w))
-  + 0.1 * (1 - len(list_intersect(x.t, y.t))::DOUBLE / least(len(x.t), len(y.t))), 9), 6) AS distance FROM i x, i y WHERE x.name < y.name"""
+SELECT x.name AS a, y.name AS b, round(0.6 * (1 - list_cosine_similarity(x.e, y.e)) / 2 + 0.2 * (1 - len(list_intersect(x.t, y.t))::DOUBLE / len(list_distinct(list_concat(x.t, y.t)))) + 0.1 * levenshtein(x.w, y.w)::DOUBLE / greatest(length(x.w), length(y.w))
+  + 0.1 * (1 - len(list_intersect(x.t, y.t))::DOUBLE / least(len(x.t), len(y.t))), 9) AS distance FROM i x, i y WHERE x.name < y.name"""
 
 
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
