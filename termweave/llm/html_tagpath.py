@@ -6,8 +6,10 @@ smoothed over the page (a node's value is mixed with its neighbours'), averaged
 again by path, and fused: length * (1 + punctuation). Paths whose fused ratio is
 at least THRESHOLD standard deviations (over the nodes of the page) hold content,
 and so do inline tags (bold, links) right inside them.
-Punctuation is ASCII's. Paths through navigation, footers and form controls are
-boilerplate whatever their ratio, and take no part in the threshold.
+Punctuation is ASCII's. What lies in a nav, menu, footer, button, select or textarea
+that its own end tag closes is boilerplate whatever its ratio, and takes no part in
+the threshold; where such a tag isn't closed, or where nothing else is left, the
+ratios decide there, too (in the latter case, on paths with any punctuation).
 
 Defined cases: a null page has null content and zeros; an empty one, or one
 without text, has empty content; broken markup is read as far as it goes (an
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,16 +52,24 @@ _CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "
 _CLOSES |= dict.fromkeys("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split(), ("p",))
 _BOUNDS = {"p": frozenset("article aside body div footer header main nav section td th li table blockquote".split()), "li": frozenset(("ul", "ol", "menu")), "dt": frozenset(("dl",)), "dd": frozenset(("dl",)), "option": frozenset(("select",))}
 _TABLE = frozenset(("table",))
-_FURNITURE = frozenset("aside button footer form menu nav select textarea".split())
+_FURNITURE = frozenset("button footer menu nav select textarea".split())
 _INLINE = frozenset("a abbr b bdi bdo br cite code em font i kbd mark q s samp small span strong sub sup time tt u var wbr img".split())
 
 
-def nodes(page: str) -> tuple[list[str], list[str], list[bool]]:
-    """(path, text, does it begin a new block) of every text node that isn't blank."""
-    paths, texts, breaks = [], [], []
+def _scan(page: str) -> tuple[list[str], list[str], list[bool], list[bool]]:
+    """(path, text, does it begin a new block, is it in closed furniture) of every text node that isn't blank."""
+    paths, texts, breaks, inner = [], [], [], []
     stack: list[str] = []
+    #: Furniture: the one around each and whether it was closed, by number; those open now, with their depth.
+    around, closed = [-1], [False]
+    open_: list[tuple[int, int]] = [(-1, 0)]
     at, fresh = 0, True
 
+    def cut(k: int) -> None:
+        del stack[k:]
+        while open_[-1][0] >= k:
+            open_.pop()
+
     def add(raw: str) -> None:
         nonlocal fresh
         text = _SPACE.sub(" ", entities.unescape(raw) if "&" in raw else raw)
@@ -66,6 +77,7 @@ def nodes(page: str) -> tuple[list[str], list[str], list[bool]]:
             paths.append("/".join(stack))
             texts.append(text)
             breaks.append(fresh)
+            inner.append(open_[-1][1])
             fresh = False
 
     for m in _MARKUP.finditer(page):
@@ -80,21 +92,35 @@ def nodes(page: str) -> tuple[list[str], list[str], list[bool]]:
             fresh = True
         if m[2]:
             if tag in stack:
-                del stack[len(stack) - 1 - stack[::-1].index(tag) :]
+                k = len(stack) - 1 - stack[::-1].index(tag)
+                if tag in _FURNITURE:
+                    closed[next(n for depth, n in reversed(open_) if depth == k)] = True
+                cut(k)
             continue
         if closes := _CLOSES.get(tag):
             bounds = _BOUNDS.get(closes[0], _TABLE)
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k] in closes:
-                    del stack[k:]
+                    cut(k)
                     break
                 if stack[k] in bounds:
                     break
         if tag not in _VOID and not m[0].endswith("/>"):
+            if tag in _FURNITURE:
+                around.append(open_[-1][1])
+                closed.append(False)
+                open_.append((len(stack), len(closed) - 1))
             stack.append(tag)
     if at < len(page):
         add(page[at:])
-    return paths, texts, breaks
+    for n in range(1, len(closed)):
+        closed[n] |= closed[around[n]]
+    return paths, texts, breaks, [closed[n] for n in inner]
+
+
+def nodes(page: str) -> tuple[list[str], list[str], list[bool]]:
+    """(path, text, does it begin a new block) of every text node that isn't blank."""
+    return _scan(page)[:3]
 
 
 def ratios(paths: list[str], texts: list[str]) -> tuple[dict[str, float], float]:
@@ -123,20 +149,22 @@ def _block(path: str) -> str:
 
 def extract(page: str) -> tuple[str, int, int]:
     """(content, text nodes, content nodes) of a page."""
-    paths, texts, breaks = nodes(page)
+    paths, texts, breaks, furniture = _scan(page)
     if not texts:
         return "", 0, 0
-    wanted = {p: _FURNITURE.isdisjoint(p.split("/")) for p in set(paths)}
-    own = [i for i, p in enumerate(paths) if wanted[p]]
-    if not own:
-        return "", len(texts), 0
+    own = [i for i, inside in enumerate(furniture) if not inside]
+    if rest := not own:
+        own = list(range(len(texts)))
     fused, least = ratios([paths[i] for i in own], [texts[i] for i in own])
+    if rest:
+        marked = {p for p, t in zip(paths, texts) if any(unicodedata.category(c)[0] == "P" for c in t)}
+        fused = {p: f if p in marked or _block(p) in marked else -1.0 for p, f in fused.items()}
     out: list[str] = []
     count, pending = 0, False
     chosen = {p: fused[p] >= least or fused.get(_block(p), -1.0) >= least for p in fused}
-    for path, text, fresh in zip(paths, texts, breaks):
+    for path, text, fresh, inside in zip(paths, texts, breaks, furniture):
         pending |= fresh
-        if wanted[path] and chosen[path]:
+        if (rest or not inside) and chosen[path]:
             out.append("\n" + text if out and pending else text)
             pending = False
             count += 1

@@ -62,3 +62,29 @@ def test_long_hostile_pages_end_soon():
     for page in ("<" * 200_000, "<a " * 60_000, "<div>" * 20_000 + "x", '<a b="' * 30_001, "<!" * 90_000, "<script " * 30_000, "<!--" * 60_000, "</b " * 60_000):
         html_tagpath.extract(page)
     assert time.perf_counter() - began < 10
+
+
+BODY = "".join(f"<p>Paragraph {i} of the article, with commas, and a full stop; it goes on for a while.</p>" for i in range(5))
+MENU = '<nav><ul><li><a href="/a">Home</a><li><a href="/b">News</a></ul></nav>'
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<body><form id=aspnetForm><input type=hidden>{MENU}<div class=main>{BODY}</div><select><option>One<option>Two</select></form></body>',
+        f"<body>{MENU}<aside>{BODY}</aside></body>",
+        f"<body><div>Skip to content</div>{MENU[:-6]}<div class=main>{BODY}</div></body>",
+        f"<body><div>Skip to content</div><aside><a href=/>Ad</a><div class=main>{BODY}</div></body>",
+        f"<body><nav><ul><li><a>Home</a></ul>{BODY}</nav></body>",
+        f"<body><footer>{BODY}</footer></body>",
+    ],
+)
+def test_articles_in_forms_and_unclosed_or_sole_furniture(page):
+    content = html_tagpath.extract(page)[0]
+    assert content.split("\n") == re.findall("<p>(.*?)</p>", BODY)
+
+
+def test_closed_furniture_beside_an_article_goes():
+    for tag in ("nav", "menu", "footer", "button", "select", "textarea"):
+        content = html_tagpath.extract(f"<body><form>{BODY}<{tag}>Imprint, contact, terms, and so on; a long line of words, here, and there.</{tag}></form></body>")[0]
+        assert "Paragraph 4" in content and "Imprint" not in content, tag
