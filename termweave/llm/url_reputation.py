@@ -6,7 +6,8 @@ of all parents (method of moments on their bad rates about their parents' means,
 its strength between LEAST and MOST pseudo-counts), and every node's rate is
 shrunk towards its parent's posterior mean. A host's page stays if the upper
 bound of the posterior bad rate, mean + Z standard deviations, is at most BOUND.
-Hosts with few labels lean on their domain, domains on their suffix.
+Hosts with few labels lean on their domain, domains on their suffix. Suffixes are
+those of the public suffix list; a registered domain is a suffix and one label.
 
 The label of a page is that of the document its URL names (the last number of the
 path); it is bad if the document is toxic or of low quality.
@@ -20,24 +21,32 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from . import public_suffix
+from .common import small_batches, written
 
 LEAST, MOST, Z, BOUND = 2.0, 200.0, 1.645, 0.35
-#: Public suffixes of two labels; all others are the last label.
+#: Public suffixes of two labels in the SQL, where all others are the last label; these don't rule what runs in Spark.
 SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "ne.jp", "net.au", "or.jp", "org.au", "org.uk")
 
 _HOST = r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
 _NUMBER = r"^[^?#]*?/([0-9]{1,18})(?:\.[a-z]+)?/?(?:[?#].*)?$"
 
 
-def parts(url: Column, suffixes: tuple[str, ...] = SUFFIXES) -> tuple[Column, Column, Column]:
-    """(host, registered domain, suffix) of a URL."""
+def _suffix(rules: tuple[str, ...] | None):
+    def run(hosts: pa.Array) -> pa.Array:
+        return public_suffix.suffixes(hosts, rules)
+
+    return F.arrow_udf(run, "string")
+
+
+def parts(url: Column, suffixes: tuple[str, ...] | None = None) -> tuple[Column, Column, Column]:
+    """(host, registered domain, suffix) of a URL, by rules as in the public suffix list; None: that list."""
     host = F.nullif(F.rtrim(F.lower(F.regexp_extract(url, _HOST, 1)), F.lit(".")), F.lit(""))
-    last2 = F.substring_index(host, ".", -2)
-    suffix = F.when(last2.isin(*suffixes), last2).otherwise(F.substring_index(host, ".", -1))
+    suffix = _suffix(suffixes)(host)
     labels = F.size(F.split(suffix, r"\.")) + 1
     domain = F.array_join(F.slice(F.reverse(F.slice(F.reverse(F.split(host, r"\.")), F.lit(1), labels)), F.lit(1), labels), ".")
     return host, domain, suffix
@@ -54,8 +63,9 @@ def _moments(nodes: DataFrame) -> DataFrame:
     return d.select(F.least(F.lit(MOST), F.greatest(F.lit(LEAST), strength)).alias("strength"))
 
 
-def reputations(pages: DataFrame, labels: DataFrame, url_col: str = "url", suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
+def reputations(pages: DataFrame, labels: DataFrame, url_col: str = "url", suffixes: tuple[str, ...] | None = None) -> DataFrame:
     """(host, domain, suffix, n_labels, n_bad, alpha, beta) for every host among the pages."""
+    small_batches(pages.sparkSession)
     host, domain, suffix = parts(F.col(url_col).cast("string"), suffixes)
     named = F.regexp_extract(F.col(url_col).cast("string"), _NUMBER, 1)
     own = pages.select(host.alias("host"), domain.alias("domain"), suffix.alias("suffix"), F.when(named != "", named.cast("long")).alias("k"))
@@ -80,7 +90,7 @@ def reputations(pages: DataFrame, labels: DataFrame, url_col: str = "url", suffi
     return nodes.select("host", "domain", "suffix", F.col("n").alias("n_labels"), F.col("bad").alias("n_bad"), "alpha", "beta")
 
 
-def judge(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", suffixes: tuple[str, ...] = SUFFIXES, z: float = Z, bound: float = BOUND) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", suffixes: tuple[str, ...] | None = None, z: float = Z, bound: float = BOUND) -> DataFrame:
     """(page_id, host, domain, suffix, n_labels, n_bad, bad_rate, bad_bound, keep) of every page."""
     s = F.col("alpha") + F.col("beta")
     mean = F.col("alpha") / s

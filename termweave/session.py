@@ -26,7 +26,7 @@ def ship(spark: SparkSession) -> SparkSession:
         root = Path(__file__).resolve().parent
         packed = io.BytesIO()
         with zipfile.ZipFile(packed, "w") as out:
-            for p in sorted(root.rglob("*.py")):
+            for p in sorted([*root.rglob("*.py"), *root.rglob("*.dat")]):
                 out.write(p, p.relative_to(root.parent))
         path = f"{shared_dir(spark)}/{root.name}-{uuid.uuid4().hex}.zip"
         put_bytes(spark, path, packed.getvalue())

@@ -58,3 +58,40 @@ def test_few_labels_lean_on_the_domain(spark):
     assert found["c.bad.com"]["bad_rate"] > 0.3 and not found["c.bad.com"]["keep"] and not found["a.bad.com"]["keep"]
     assert found["a.good.com"]["keep"] and found["b.good.com"]["keep"] and found["c.good.com"]["bad_rate"] < 0.2
     assert found["d.good.com"]["n_labels"] == 0 and found["d.good.com"]["bad_bound"] >= found["b.good.com"]["bad_bound"]
+
+
+@pytest.mark.parametrize("suffix", ["com", "com.sg", "com.hk", "co.id", "com.ar", "co.il", "edu.au", "github.io", "x.ck", "x.kawasaki.jp"])
+def test_few_labels_lean_on_the_domain_under_any_suffix(spark, suffix):
+    """As under .com: one good label on a host of a bad domain doesn't clear it, however good its neighbours are."""
+    pages, labels, n = [], [], 0
+    for host, bad, good in (("a.bad", 40, 2), ("b.bad", 38, 1), ("c.bad", 0, 1), ("a.good", 1, 60), ("b.good", 0, 50), ("c.good", 0, 1), ("a.fine", 0, 90), ("a.best", 0, 90)):
+        for i in range(bad + good):
+            n += 1
+            pages.append((n, f"https://{host}.{suffix}/{n}"))
+            labels.append((n, int(i >= bad), 0))
+    p, l = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    found = {r["host"].removesuffix(f".{suffix}"): r for r in url_reputation.judge(p, l).collect()}
+    assert {r["domain"] for r in found.values()} == {f"{d}.{suffix}" for d in ("bad", "good", "fine", "best")}
+    assert found["c.bad"]["bad_rate"] > 0.3 and not found["c.bad"]["keep"] and not found["a.bad"]["keep"]
+    assert found["a.good"]["keep"] and found["b.good"]["keep"] and found["c.good"]["bad_rate"] < 0.2
+
+
+@pytest.mark.parametrize(
+    ("host", "domain", "suffix"),
+    [
+        ("a.b.shop.com.sg", "shop.com.sg", "com.sg"),
+        ("user.github.io", "user.github.io", "github.io"),
+        ("github.io", "github.io", "github.io"),
+        ("a.b.c.ck", "b.c.ck", "c.ck"),
+        ("a.www.ck", "www.ck", "ck"),
+        ("ck", "ck", "ck"),
+        ("x.city.kawasaki.jp", "city.kawasaki.jp", "kawasaki.jp"),
+        ("x.y.other.kawasaki.jp", "y.other.kawasaki.jp", "other.kawasaki.jp"),
+        ("a.b.公司.cn", "b.公司.cn", "公司.cn"),
+        ("a.b.xn--55qx5d.cn", "b.xn--55qx5d.cn", "xn--55qx5d.cn"),
+        ("a.b.nosuchsuffix", "b.nosuchsuffix", "nosuchsuffix"),
+    ],
+)
+def test_rules_of_the_public_suffix_list(spark, host, domain, suffix):
+    df = spark.createDataFrame([(f"https://{host}/1",)], "url string")
+    assert tuple(df.select(*(p.alias(f"p{i}") for i, p in enumerate(url_reputation.parts(F.col("url"))))).first()) == (host, domain, suffix)
