@@ -1,14 +1,13 @@
-"""Repeated passages by a depth-limited radix sort of all suffixes.
+"""Repeated passages: winnowing, then hashes of whole windows.
 
-Suffixes are ordered by their first WINDOW words only, most significant digit
-first; a digit is DIGIT words, and a group with one suffix goes no further. The
-groups left after the last digit are exactly the windows of WINDOW words that
-occur more than once.
+This stands in for a most-significant-digit radix sort of all suffixes to a depth of
+WINDOW words: of that sort, only the groups of equal windows are wanted. No suffix is
+ordered, and the second step doesn't refine the groups of the first.
 
-First digit: a window can only repeat if each DIGIT-word run in it does, the one
-with the least hash among them, too. So only those runs, about 2 in WINDOW - DIGIT
-positions, are sent and grouped. Last digit: of the windows whose least run
-repeats, all WINDOW words are compared by a 128-bit hash of their words.
+First step, a filter: a window can only repeat if each DIGIT-word run in it does, the
+one with the least hash among them, too. So only those runs, about 2 in WINDOW - DIGIT
+positions, are sent and grouped. Second step: of the windows whose least run repeats,
+all WINDOW words are compared by a 128-bit hash of their words.
 
 Result: maximal runs of repeated windows, (doc_id, start_token, end_token,
 is_first); is_first marks those whose windows are the first of their group by
