@@ -33,6 +33,8 @@ from .common import _Q2, Rolling, Words, pieces, two, written
 
 WINDOW, DIGIT = 50, 25
 _LOW = np.uint64((1 << 24) - 1)
+#: Positions among which least runs are sought at once; with a window they must fit into _LOW.
+STRETCH = 1 << 20
 
 
 def windows(w: Words, window: int, digit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -42,13 +44,17 @@ def windows(w: Words, window: int, digit: int) -> tuple[np.ndarray, np.ndarray,
         return at, at, np.zeros(0, np.uint64)
     runs = np.arange(len(w.hash) - digit + 1)
     h = Rolling(w.hash).of(runs, runs + digit)
-    if len(runs) > int(_LOW):
-        raise ValueError("more than 2**24 words in a block")
-    m, wide, reach = (h & ~_LOW) | runs.astype(np.uint64), 1, window - digit + 1
-    while 2 * wide <= reach:
-        m, wide = np.minimum(m[:-wide], m[wide:]), 2 * wide
-    least = np.minimum(m[at], m[at + reach - wide]) & _LOW
-    return at, least.astype(np.int64), h
+    reach, least = window - digit + 1, np.empty(len(at), np.int64)
+    for base in range(0, len(runs), STRETCH):
+        i, j = np.searchsorted(at, (base, base + STRETCH))
+        if i == j:
+            continue
+        part = h[base : base + STRETCH + reach - 1]
+        m, wide, here = (part & ~_LOW) | np.arange(len(part), dtype=np.uint64), 1, at[i:j] - base
+        while 2 * wide <= reach:
+            m, wide = np.minimum(m[:-wide], m[wide:]), 2 * wide
+        least[i:j] = base + (np.minimum(m[here], m[here + reach - wide]) & _LOW).astype(np.int64)
+    return at, least, h
 
 
 def _anchors(window: int, digit: int):

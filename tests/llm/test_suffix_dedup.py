@@ -5,7 +5,9 @@ from __future__ import annotations
 import random
 import re
 from collections import defaultdict
+from types import SimpleNamespace
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -72,3 +74,26 @@ def test_cut_keeps_the_rest():
     texts = pa.array(["One, two; THREE four!", "é日本 x", "keep"])
     spots = pa.array([[{"start": 1, "end": 3}], [{"start": 0, "end": 2}], None], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
     assert suffix_dedup.without(texts, spots) == ["One,  four!", None, "keep"]
+
+
+def test_stretches_find_the_same_runs(monkeypatch):
+    rng = random.Random(3)
+    w = suffix_dedup.Words(pa.array([doc(rng, n, 4) for n in (400, 3, 90, 0, 57)]))
+    for window, digit in ((50, 25), (6, 3), (5, 5)):
+        monkeypatch.setattr(suffix_dedup, "STRETCH", 1 << 20)
+        wanted = suffix_dedup.windows(w, window, digit)
+        assert wanted[1].tolist() == [min(range(p, p + window - digit + 1), key=lambda i: (int(wanted[2][i]) >> 24, i)) for p in wanted[0].tolist()]
+        for stretch in (1, 7, 64):
+            monkeypatch.setattr(suffix_dedup, "STRETCH", stretch)
+            assert [x.tolist() for x in suffix_dedup.windows(w, window, digit)] == [x.tolist() for x in wanted]
+
+
+def test_more_words_than_24_bits_count():
+    """The end of a very long document has the runs that it has alone."""
+    n, tail = (1 << 24) + 500, 300
+    words = np.random.default_rng(1).integers(0, 1 << 63, n, dtype=np.uint64)
+    of = lambda h: suffix_dedup.windows(SimpleNamespace(hash=h, left=lambda: np.arange(len(h), 0, -1)), 50, 25)
+    at, least, _ = of(words)
+    end, alone, _ = of(words[-tail:])
+    assert len(at) == n - 49
+    assert (at[-len(end) :] - end == n - tail).all() and (least[-len(end) :] - alone == n - tail).all()
