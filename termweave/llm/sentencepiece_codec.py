@@ -137,10 +137,6 @@ class Codec:
         self.whole.decoder = decoders.Sequence(decode + ([decoders.Strip(" ", 1, 0)] if m.dummy_prefix else []))
         own = [p for p, _, kind in m.pieces if kind in (NORMAL, USER)]
         self.splits = m.escape and m.byte_fallback and m.dummy_prefix and not m.strip_spaces and not m.charsmap and not any("\n" in p or (MARK in p[1:] and p.strip(MARK)) for p in own)
-        self.bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else p.replace(MARK, " ").encode() for p, _, kind in m.pieces]
-        self.piece_size = np.array([len(b) for b in self.bytes], np.int64)
-        self.piece_at = np.concatenate([[0], np.cumsum(self.piece_size)])
-        self.piece_data = np.frombuffer(b"".join(self.bytes), np.uint8)
         self._forget()
 
     def _forget(self) -> None:
@@ -195,10 +191,6 @@ class Codec:
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.whole.decode_batch(ids, skip_special_tokens=True)
 
-    def spelled(self, ids: np.ndarray) -> np.ndarray:
-        """The bytes that the ids stand for, with the dummy prefix still there."""
-        return self.piece_data[spread(self.piece_at[ids], self.piece_size[ids])]
-
 
 @functools.lru_cache(2)
 def codec(data: bytes, threads: int = THREADS) -> Codec:
@@ -213,9 +205,8 @@ def _encode(data: bytes, threads: int):
             ids, counts = c.encode(strings)
             off = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(off), pa.array(ids))
-            back = c.spelled(ids).tobytes()
-            size = np.concatenate([[0], np.cumsum(c.piece_size[ids])])[off]
-            same = [back[a:b] == (b" " + s.encode() if s else b"") for a, b, s in zip(size, size[1:], strings)]
+            back = c.decode([ids[a:b].tolist() for a, b in zip(off, off[1:])])
+            same = [a == b for a, b in zip(back, strings)]
             yield pa.RecordBatch.from_arrays(
                 [rows.column(0), pc.if_else(null, pa.scalar(None, lists.type), lists), pc.if_else(null, pa.scalar(None, pa.int64()), pa.array(counts)), pc.if_else(null, pa.scalar(None, pa.bool_()), pa.array(same))],
                 ["doc_id", "ids", "n_ids", "round_trip"],
@@ -225,7 +216,7 @@ def _encode(data: bytes, threads: int):
 
 
 def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, threads: int = THREADS) -> DataFrame:
-    """(doc_id, ids, n_ids, round_trip): round_trip says whether the ids spell the text byte for byte."""
+    """(doc_id, ids, n_ids, round_trip): round_trip says whether the decoder gives the text back from the ids."""
     return two(docs, id_col, text_col).mapInArrow(_encode(Path(model).read_bytes(), threads), "doc_id long, ids array<int>, n_ids long, round_trip boolean")
 
 

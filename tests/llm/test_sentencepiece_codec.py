@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -56,6 +57,18 @@ def test_decoding_gives_the_texts_back(spark, small):
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, docs.collect()))
 
 
+def test_round_trip_is_what_the_decoder_gives(spark, monkeypatch):
+    texts = ["a b", "", None, " two  spaces ", "line\nend", "naïve 日本 🎉 \t", "a literal ▁ marker"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    encoded = codec.encode_pieces(docs)
+    back = {r["doc_id"]: r["text"] for r in codec.decode_pieces(encoded).collect()}
+    found = {r["doc_id"]: r["round_trip"] for r in encoded.collect()}
+    assert found == {i: None if t is None else back[i] == t for i, t in enumerate(texts)} and found[0] and not found[6]
+    monkeypatch.setattr(codec.Codec, "decode", lambda self, ids: ["wrong"] * len(ids))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [0, 2], "text": pa.array(["a b", None])})
+    assert [x for b in codec._encode(DATA, 2)(iter([batch])) for x in b.column(3).to_pylist()] == [False, None]
+
+
 def test_memory_starts_anew(ours, peer, monkeypatch):
     monkeypatch.setattr(codec, "REMEMBERED", 50)
     for seed in range(3):
