@@ -2,7 +2,8 @@
 
 Lengths are the numbers of words (white-space runs between them) unless a column
 holds them. Documents longer than a sequence are cut into full sequences and one
-rest. Documents are dealt to shards of about SHARD_DOCS by a hash of their id;
+rest. Documents are dealt to shards of about SHARD_DOCS by a hash of their id, or of
+their length if they have none;
 inside a shard they are taken by falling length, each going to the open bin with
 the least room that is enough. A segment tree over the CAPACITY + 1 possible
 rooms finds that bin in O(log CAPACITY). Only (id, length) is shuffled.
@@ -95,5 +96,5 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n = F.regexp_count(F.col(text_col).cast("string"), F.lit(r"\S+")) if length is None else length
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), n.cast("long").alias("n")).filter("n > 0")
     shards = max(1, -(-docs.count() // shard_docs))
-    dealt = own.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
+    dealt = own.withColumn("shard", F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("n")).otherwise(F.xxhash64("doc_id")), F.lit(shards)))
     return dealt.groupBy("shard").applyInPandas(_shard(capacity), "shard long, bin long, bin_offset long, doc_id long, piece long, doc_start long, n_tokens long")

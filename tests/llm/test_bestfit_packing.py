@@ -57,3 +57,9 @@ def test_given_lengths_and_shards(spark):
     rows = bestfit_packing.pack_documents(docs, length=F.col("len"), capacity=6, shard_docs=100).collect()
     assert len({r["shard"] for r in rows}) > 1
     assert sum(r["n_tokens"] for r in rows) == sum(i % 7 for i in range(1000) if i % 10)
+
+
+def test_null_ids_are_dealt_to_several_shards(spark):
+    docs = spark.createDataFrame([(None, n) for n in range(1, 101)], "doc_id long, n long")
+    rows = bestfit_packing.pack_documents(docs, length=F.col("n"), capacity=200, shard_docs=20).collect()
+    assert sorted(r["n_tokens"] for r in rows) == list(range(1, 101)) and len({r["shard"] for r in rows}) > 1
