@@ -8,11 +8,14 @@ BPE scores imply, and byte fallback.
 If no piece spans a marker or line end (checked), a text falls into segments that
 are encoded each by itself: words with their marker, and line ends. Every distinct
 segment is encoded once, in multithreaded batches, and ids are put together with
-numpy. Texts with runs of spaces or literal markers are encoded whole.
+numpy. Texts with runs of spaces or literal markers are encoded whole. Decoding goes
+the same way back: every piece, and every distinct run of byte pieces, is decoded once by
+the library, and the texts are put together.
 
 Defined cases: a null text has null ids; an empty one has no ids; a null id stays
 null; repeated rows give repeated results; an empty table gives an empty result;
-other columns are ignored.
+other columns are ignored. A text of any length is encoded and decoded whole. Ids that
+no piece has, and null ids, have no text.
 """
 
 from __future__ import annotations
@@ -135,6 +138,10 @@ class Codec:
         self.whole.normalizer = normalizers.Sequence(steps)
         decode = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
         self.whole.decoder = decoders.Sequence(decode + ([decoders.Strip(" ", 1, 0)] if m.dummy_prefix else []))
+        self.runs = Tokenizer(core())
+        self.runs.decoder = decoders.Sequence(decode)
+        self.is_byte = np.array([kind == BYTE for _, _, kind in m.pieces], bool)
+        self._pieces()
         own = [p for p, _, kind in m.pieces if kind in (NORMAL, USER)]
         self.splits = m.escape and m.byte_fallback and m.dummy_prefix and not m.strip_spaces and not m.charsmap and not any("\n" in p or (MARK in p[1:] and p.strip(MARK)) for p in own)
         self._forget()
@@ -188,9 +195,63 @@ class Codec:
         found = [e.ids if t else [] for t, e in zip(texts, self.whole.encode_batch_fast(texts, add_special_tokens=False))]
         return np.fromiter((x for ids in found for x in ids), np.int32, sum(map(len, found))), np.array([len(x) for x in found], np.int64)
 
-    def decode(self, ids: list[list[int]]) -> list[str]:
+    def decode_whole(self, ids: list[list[int]]) -> list[str]:
+        """The texts of lists of ids by the library's decoder, each list at once."""
         return self.whole.decode_batch(ids, skip_special_tokens=True)
 
+    def decode(self, lists: list[list[int]] | pa.ListArray) -> list[str]:
+        """The same, but every distinct run of ids is decoded once; a null list has an empty text.
+
+        A run is one piece, or as many byte pieces as there are in a row: the decoder's steps
+        never look beyond that, so the runs' texts in a row are the whole's, but for the space
+        that the dummy prefix leaves in front.
+        """
+        lists = pa.array(lists, pa.list_(pa.int32())) if isinstance(lists, list) else lists
+        counts = np.asarray(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), np.int64)
+        ids = np.asarray(pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False), np.int64)
+        doc = np.repeat(np.arange(len(counts)), counts)
+        real = (ids >= 0) & (ids < len(self.is_byte))
+        if not real.all():  # no piece, no text
+            ids, doc = ids[real], doc[real]
+        many = np.append(False, self.is_byte[ids[1:]] & self.is_byte[ids[:-1]] & (doc[1:] == doc[:-1])) if len(ids) else real
+        if many.any():
+            ids, doc = self._fused(ids, doc, many)
+        size = self.said_size[ids]
+        text = self.said[spread(self.said_at[ids], size)].tobytes()
+        ends = np.cumsum(np.bincount(doc, weights=size, minlength=len(counts)).astype(np.int64)).tolist()
+        out = [text[a:b].decode() for a, b in zip([0, *ends], ends)]
+        return [t[1:] if t[:1] == " " else t for t in out] if self.model.dummy_prefix else out
+
+    def _fused(self, ids: np.ndarray, doc: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Runs of byte pieces as one number each; many: which ids go on with the run before."""
+        begin = np.flatnonzero(~many & np.append(many[1:], False))
+        end = np.append(np.flatnonzero(many[:-1] & ~many[1:]) + 1, [len(ids)] if many[-1] else []).astype(np.int64)
+        body = ids[spread(begin, end - begin)].astype(np.int32).tobytes()
+        if len(self.fused) > REMEMBERED:
+            self._pieces()
+        stops = (4 * np.cumsum(end - begin)).tolist()
+        runs = [body[a:b] for a, b in zip([0, *stops], stops)]
+        new = list(dict.fromkeys(r for r in runs if r not in self.fused))
+        if new:
+            self.fused.update(zip(new, range(len(self.said_at), len(self.said_at) + len(new))))
+            self._say(self.runs.decode_batch([np.frombuffer(r, np.int32).tolist() for r in new], skip_special_tokens=True))
+        number = [self.fused[r] for r in runs]
+        ids = ids.copy()
+        ids[begin] = number
+        return ids[~many], doc[~many]
+
+    def _pieces(self) -> None:
+        self.said, self.said_at, self.said_size, self.fused = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64), {}
+        self._say(self.runs.decode_batch([[i] for i in range(len(self.model.pieces))], skip_special_tokens=True))
+
+    def _say(self, texts: list[str]) -> None:
+        """Number these texts."""
+        body = [t.encode() for t in texts]
+        sizes = np.array(list(map(len, body)), np.int64)
+        self.said_at = np.append(self.said_at, len(self.said) + np.cumsum(sizes) - sizes)
+        self.said_size = np.append(self.said_size, sizes)
+        self.said = np.append(self.said, np.frombuffer(b"".join(body), np.uint8))
+
 
 @functools.lru_cache(2)
 def codec(data: bytes, threads: int = THREADS) -> Codec:
@@ -205,8 +266,7 @@ def _encode(data: bytes, threads: int):
             ids, counts = c.encode(strings)
             off = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(off), pa.array(ids))
-            back = c.decode([ids[a:b].tolist() for a, b in zip(off, off[1:])])
-            same = [a == b for a, b in zip(back, strings)]
+            same = [a == b for a, b in zip(c.decode(lists), strings)]
             yield pa.RecordBatch.from_arrays(
                 [rows.column(0), pc.if_else(null, pa.scalar(None, lists.type), lists), pc.if_else(null, pa.scalar(None, pa.int64()), pa.array(counts)), pc.if_else(null, pa.scalar(None, pa.bool_()), pa.array(same))],
                 ["doc_id", "ids", "n_ids", "round_trip"],
@@ -224,9 +284,9 @@ def _decode(data: bytes, threads: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(data, threads)
         for batch in batches:
-            lists = batch.column(1).to_pylist()
-            texts = iter(c.decode([x for x in lists if x is not None]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if x is None else next(texts) for x in lists], pa.string())], ["doc_id", "text"])
+            lists = batch.column(1)
+            texts = pa.array(c.decode(lists), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pc.if_else(lists.is_valid(), texts, pa.scalar(None, pa.string()))], ["doc_id", "text"])
 
     return run
 

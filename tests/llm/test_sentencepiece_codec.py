@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pytest
 import sentencepiece
@@ -120,3 +121,14 @@ def test_other_models_are_refused():
     word = message(1, message(1, b"<unk>") + field(3, 0, varint(2))) + message(2, field(3, 0, varint(3)))
     with pytest.raises(ValueError):
         codec.parse(word)
+
+
+def test_decoder_of_runs_is_the_library_s(ours):
+    """Ids in any order: bytes of broken characters, ids without a piece, controls, leading markers."""
+    rng = np.random.default_rng(5)
+    n = len(ours.model.pieces)
+    lists = [rng.integers(0, 300, k).tolist() for k in range(40)] + [rng.integers(-3, n + 3, k).tolist() for k in (1, 7, 50, 3000)]
+    byte = [i for i, p in enumerate(ours.model.pieces) if p[2] == codec.BYTE]
+    lists += [[byte[0xE6], byte[0x97], n + 9, byte[0xA5]], [byte[0xFF]] * 5, [byte[10]], []]
+    assert ours.decode(lists) == ours.decode_whole([[i for i in one if 0 <= i < n] for one in lists])
+    assert ours.decode(pa.array([None, [], [byte[65]]], pa.list_(pa.int32()))) == ["", "", "A"]
