@@ -97,3 +97,20 @@ def test_more_words_than_24_bits_count():
     end, alone, _ = of(words[-tail:])
     assert len(at) == n - 49
     assert (at[-len(end) :] - end == n - tail).all() and (least[-len(end) :] - alone == n - tail).all()
+
+
+@pytest.mark.parametrize("hot", (0, 3))
+def test_hot_digits_give_the_same(spark, hot):
+    rng = random.Random(9)
+    texts = {i: doc(rng, rng.randrange(60), 4) for i in range(15)} | {20: None, 21: ""}
+    texts |= {30 + i: texts[3] for i in range(4)} | {40 + i: f"{texts[3]} {texts[5]}" for i in range(3)}
+    assert spans(spark, texts, window=6, digit=3, hot=hot) == brute_spans(texts, 6)
+
+
+def test_a_passage_of_very_many_documents(spark):
+    """One line in 100,000 documents: each keeps its own words, the least id the line."""
+    line = " ".join(f"license{i}" for i in range(55))
+    df = spark.range(100_000).selectExpr("id AS doc_id", f"concat('own', id, ' {line} end', id) AS text")
+    found = suffix_dedup.repeated_spans(df, hot=1000)
+    got = found.groupBy("start_token", "end_token", "is_first").agg({"doc_id": "min", "*": "count"}).collect()
+    assert sorted((r["start_token"], r["end_token"], r["is_first"], r["min(doc_id)"], r["count(1)"]) for r in got) == [(1, 56, False, 1, 99_999), (1, 56, True, 0, 1)]
