@@ -6,15 +6,15 @@ smoothed over the page (a node's value is mixed with its neighbours'), averaged
 again by path, and fused: length * (1 + punctuation). Paths whose fused ratio is
 at least THRESHOLD standard deviations (over the nodes of the page) hold content,
 and so do inline tags (bold, links) right inside them.
-Punctuation is ASCII's. What lies in a nav, menu, footer, button, select or textarea
+Punctuation is that of any script. What lies in a nav, menu, footer, button, select or textarea
 that its own end tag closes is boilerplate whatever its ratio, and takes no part in
 the threshold; where such a tag isn't closed, or where nothing else is left, the
 ratios decide there, too (in the latter case, on paths with any punctuation).
 
 Defined cases: a null page has null content and zeros; an empty one, or one
 without text, has empty content; broken markup is read as far as it goes (an
-unclosed comment, script, style or tag reaches to the end); repeated rows give repeated
-results; a null id stays null; an empty table gives an empty result; other columns
+unclosed comment, script, style or tag reaches to the end); a page of any length or depth
+is read whole, in time in proportion to its length; repeated rows give repeated results; a null id stays null; an empty table gives an empty result; other columns
 are ignored.
 """
 
@@ -45,6 +45,8 @@ _MARKUP = re.compile(
     re.I | re.S | re.X,
 )
 _SPACE = re.compile(r"\s+")
+#: Every character of a category of punctuation.
+_PUNCTUATION = re.compile("[" + "".join(re.escape(c) for c in map(chr, range(0x11000)) if unicodedata.category(c)[0] == "P") + "]")
 _MARKS = b"!\"#%&'()*,-./:;?@[\\]_{}"
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Tags that a new tag closes, and what bounds the search for them.
@@ -56,25 +58,58 @@ _FURNITURE = frozenset("button footer menu nav select textarea".split())
 _INLINE = frozenset("a abbr b bdi bdo br cite code em font i kbd mark q s samp small span strong sub sup time tt u var wbr img".split())
 
 
-def _scan(page: str) -> tuple[list[str], list[str], list[bool], list[bool]]:
-    """(path, text, does it begin a new block, is it in closed furniture) of every text node that isn't blank."""
+class _Paths:
+    """Tag paths as numbers: each is that of its parent and one tag, so that depth costs nothing."""
+
+    def __init__(self) -> None:
+        self.number: dict[tuple[int, str], int] = {}
+        self.parent, self.tag, self.block = [-1], [""], [0]
+
+    def child(self, parent: int, tag: str) -> int:
+        n = self.number.get((parent, tag))
+        if n is None:
+            n = self.number[parent, tag] = len(self.parent)
+            self.parent.append(parent)
+            self.tag.append(tag)
+            #: the path without the inline tags at its end
+            self.block.append(self.block[parent] if tag in _INLINE else n)
+        return n
+
+    def name(self, n: int) -> str:
+        tags = []
+        while n:
+            tags.append(self.tag[n])
+            n = self.parent[n]
+        return "/".join(reversed(tags))
+
+
+def _scan(page: str) -> tuple[_Paths, list[int], list[str], list[bool], list[bool]]:
+    """Paths, and (path, text, does it begin a new block, is it in closed furniture) of every text node that isn't blank."""
+    known = _Paths()
     paths, texts, breaks, inner = [], [], [], []
     stack: list[str] = []
+    trail = [0]  # the path of each depth
+    depths: dict[str, list[int]] = {}  # where in the stack each tag is
     #: Furniture: the one around each and whether it was closed, by number; those open now, with their depth.
     around, closed = [-1], [False]
     open_: list[tuple[int, int]] = [(-1, 0)]
     at, fresh = 0, True
 
     def cut(k: int) -> None:
-        del stack[k:]
+        for tag in stack[k:]:
+            depths[tag].pop()
+        del stack[k:], trail[k + 1 :]
         while open_[-1][0] >= k:
             open_.pop()
 
+    def deepest(tags) -> int:
+        return max((depths[t][-1] for t in tags if depths.get(t)), default=-1)
+
     def add(raw: str) -> None:
         nonlocal fresh
         text = _SPACE.sub(" ", entities.unescape(raw) if "&" in raw else raw)
         if text.strip():
-            paths.append("/".join(stack))
+            paths.append(trail[-1])
             texts.append(text)
             breaks.append(fresh)
             inner.append(open_[-1][1])
@@ -91,39 +126,46 @@ def _scan(page: str) -> tuple[list[str], list[str], list[bool], list[bool]]:
         if tag not in _INLINE:
             fresh = True
         if m[2]:
-            if tag in stack:
-                k = len(stack) - 1 - stack[::-1].index(tag)
+            if depths.get(tag):
+                k = depths[tag][-1]
                 if tag in _FURNITURE:
                     closed[next(n for depth, n in reversed(open_) if depth == k)] = True
                 cut(k)
             continue
         if closes := _CLOSES.get(tag):
-            bounds = _BOUNDS.get(closes[0], _TABLE)
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k] in closes:
-                    cut(k)
-                    break
-                if stack[k] in bounds:
-                    break
+            k = deepest(closes)
+            if k > deepest(_BOUNDS.get(closes[0], _TABLE)):
+                cut(k)
         if tag not in _VOID and not m[0].endswith("/>"):
             if tag in _FURNITURE:
                 around.append(open_[-1][1])
                 closed.append(False)
                 open_.append((len(stack), len(closed) - 1))
+            depths.setdefault(tag, []).append(len(stack))
+            trail.append(known.child(trail[-1], tag))
             stack.append(tag)
     if at < len(page):
         add(page[at:])
     for n in range(1, len(closed)):
         closed[n] |= closed[around[n]]
-    return paths, texts, breaks, [closed[n] for n in inner]
+    return known, paths, texts, breaks, [closed[n] for n in inner]
 
 
 def nodes(page: str) -> tuple[list[str], list[str], list[bool]]:
     """(path, text, does it begin a new block) of every text node that isn't blank."""
-    return _scan(page)[:3]
+    known, paths, texts, breaks, _ = _scan(page)
+    names = {p: known.name(p) for p in set(paths)}
+    return [names[p] for p in paths], texts, breaks
+
+
+def marks(text: str) -> int:
+    """How many punctuation marks a text has, those of any script."""
+    if text.isascii():
+        return len(text) - len(text.encode().translate(None, _MARKS))
+    return len(_PUNCTUATION.findall(text))
 
 
-def ratios(paths: list[str], texts: list[str]) -> tuple[dict[str, float], float]:
+def ratios(paths: list, texts: list[str]) -> tuple[dict, float]:
     """(fused ratio of each path, threshold)."""
     number = {p: i for i, p in enumerate(dict.fromkeys(paths))}
     of = np.array([number[p] for p in paths])
@@ -135,21 +177,13 @@ def ratios(paths: list[str], texts: list[str]) -> tuple[dict[str, float], float]
         mixed = KERNEL[0] * padded[:-2] + KERNEL[1] * padded[1:-1] + KERNEL[2] * padded[2:]
         return np.bincount(of, weights=mixed) / size
 
-    fused = smooth([len(t.strip()) for t in texts]) * (1 + smooth([len(b := t.encode("utf-8", "replace")) - len(b.translate(None, _MARKS)) for t in texts]))
+    fused = smooth([len(t.strip()) for t in texts]) * (1 + smooth([marks(t) for t in texts]))
     return dict(zip(number, fused.tolist())), THRESHOLD * float(fused[of].std())
 
 
-def _block(path: str) -> str:
-    """The path without the inline tags at its end."""
-    tags = path.split("/")
-    while tags and tags[-1] in _INLINE:
-        tags.pop()
-    return "/".join(tags)
-
-
 def extract(page: str) -> tuple[str, int, int]:
     """(content, text nodes, content nodes) of a page."""
-    paths, texts, breaks, furniture = _scan(page)
+    known, paths, texts, breaks, furniture = _scan(page)
     if not texts:
         return "", 0, 0
     own = [i for i, inside in enumerate(furniture) if not inside]
@@ -157,11 +191,11 @@ def extract(page: str) -> tuple[str, int, int]:
         own = list(range(len(texts)))
     fused, least = ratios([paths[i] for i in own], [texts[i] for i in own])
     if rest:
-        marked = {p for p, t in zip(paths, texts) if any(unicodedata.category(c)[0] == "P" for c in t)}
-        fused = {p: f if p in marked or _block(p) in marked else -1.0 for p, f in fused.items()}
+        marked = {p for p, t in zip(paths, texts) if marks(t)}
+        fused = {p: f if p in marked or known.block[p] in marked else -1.0 for p, f in fused.items()}
     out: list[str] = []
     count, pending = 0, False
-    chosen = {p: fused[p] >= least or fused.get(_block(p), -1.0) >= least for p in fused}
+    chosen = {p: fused[p] >= least or fused.get(known.block[p], -1.0) >= least for p in fused}
     for path, text, fresh, inside in zip(paths, texts, breaks, furniture):
         pending |= fresh
         if (rest or not inside) and chosen[path]:
