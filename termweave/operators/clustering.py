@@ -51,11 +51,15 @@ def pair_distances(items: DataFrame) -> DataFrame:
 
 def coherence(members: DataFrame) -> DataFrame:
     """members (cluster, name, embedding) -> (cluster, n, scs): mean pairwise cosine, moved to [0, 1]; 1 for one."""
-    l = members.select("cluster", F.col("name").alias("a"), F.col("embedding").alias("ea"))
-    r = members.select("cluster", F.col("name").alias("b"), F.col("embedding").alias("eb"))
-    mean = l.join(r, "cluster").filter("a < b").groupBy("cluster").agg(F.avg(sim.cosine(F.col("ea"), F.col("eb"))).alias("m"))
+    # The cosines of all pairs sum to (|sum of units|^2 - units) / 2, so no pair is made. A zero vector's cosines are 0.
+    v = F.col("embedding")
+    size = F.sqrt(sim.dot(v, v))
+    unit = F.when(size > 0, F.transform(v, lambda x: x.cast("double") / size)).otherwise(F.transform(v, lambda x: F.lit(0.0).cast("double")))
+    parts = members.select("cluster", F.posexplode(unit).alias("d", "x")).groupBy("cluster", "d").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
+    total = parts.groupBy("cluster").agg(F.sum(F.col("s") * F.col("s") - F.col("q")).alias("pairs"))
     n = members.groupBy("cluster").agg(F.count("*").alias("n"))
-    return n.join(mean, "cluster", "left").select("cluster", "n", F.round(F.coalesce((F.col("m") + 1) / 2, F.lit(1.0)), 9).alias("scs"))
+    mean = F.col("pairs") / (F.col("n") * (F.col("n") - 1))
+    return n.join(total, "cluster", "left").select("cluster", "n", F.round(F.when(F.col("n") > 1, (F.coalesce(mean, F.lit(0.0)) + 1) / 2).otherwise(1.0), 9).alias("scs"))
 
 
 def centroid_coherence(members: DataFrame) -> DataFrame:
@@ -186,9 +190,9 @@ def coherent_clusters(names: list[str], v: np.ndarray, config: ClusterConfig = C
 
 
 def two_means(v: np.ndarray, rounds: int = 50) -> np.ndarray:
-    """Labels of a 2-means split that starts from the two rows furthest apart."""
-    d = ((v[:, None] - v[None]) ** 2).sum(-1) if len(v) <= 512 else None
-    a, b = np.unravel_index(int(np.argmax(d)), d.shape) if d is not None else (0, int(np.argmax(((v - v[0]) ** 2).sum(1))))
+    """Labels of a 2-means split that starts from the row furthest from the mean, and the one furthest from that."""
+    a = int(np.argmax(((v - v.mean(axis=0)) ** 2).sum(1)))
+    b = int(np.argmax(((v - v[a]) ** 2).sum(1)))
     centres = v[[a, b]].astype(float)
     for _ in range(rounds):
         label = ((v[:, None] - centres[None]) ** 2).sum(-1).argmin(1)

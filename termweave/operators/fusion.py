@@ -18,9 +18,14 @@ def not_obsolete(label: str = "label"):
     return ~F.lower(F.trim(F.col(label))).startswith("obsolete_")
 
 
-def low_confidence(results: DataFrame, below: float) -> DataFrame:
-    """(qid, top) of the queries whose best score, to four digits, is below; null counts as 0."""
+def low_confidence(results: DataFrame, below: float, queries: DataFrame | None = None) -> DataFrame:
+    """(qid, top) of the queries whose best score, to four digits, is below; null counts as 0.
+
+    queries (qid, …): all that were asked, so that those without a result are among them, with 0.
+    """
     top = results.groupBy("qid").agg(F.coalesce(F.max(F.when(F.col("rank") == 1, F.round("score", 4))), F.lit(0.0)).alias("top"))
+    if queries is not None:
+        top = queries.select("qid").distinct().join(top, "qid", "left").select("qid", F.coalesce("top", F.lit(0.0)).alias("top"))
     return top.filter(F.col("top") < below)
 
 
@@ -32,12 +37,13 @@ def max_merge(k: int, *lists: DataFrame) -> DataFrame:
     return ranked(best, k, "qid", ties=["first", "label"]).select("qid", "rank", "label", "score")
 
 
-def synonym_boost(stage2: DataFrame, synonyms: DataFrame, k: int, truth: DataFrame | None = None, below: float = BOOST_BELOW, filter_obsolete: bool = True) -> DataFrame:
+def synonym_boost(stage2: DataFrame, synonyms: DataFrame, k: int, truth: DataFrame | None = None, below: float = BOOST_BELOW, filter_obsolete: bool = True, queries: DataFrame | None = None) -> DataFrame:
     """(qid, rank, label, score, stage): low-confidence queries take the merge with their synonyms' labels if it is better.
 
     Better is a higher top score, or, with truth (qid, curated), a lower match level.
+    queries (qid, …): all that were asked, if some have no row in stage2.
     """
-    low = low_confidence(stage2, below)
+    low = low_confidence(stage2, below, queries)
     syn = synonyms.join(low, "qid", "left_semi")
     if filter_obsolete:
         syn = syn.filter(not_obsolete())

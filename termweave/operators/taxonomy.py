@@ -2,50 +2,53 @@
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 HOPS = 5
+#: Levels after which what was seen is written as one table.
+LEVELS = 16
+
+
+def _levels(edges: DataFrame, start: DataFrame, above: str, below: str, most: int | None) -> DataFrame:
+    """(root, code, depth): what can be reached from start (root), at its least depth, level by level.
 
+    A level holds each (root, code) once, however many paths lead there, and none that was
+    seen before, so diamonds and cycles cost nothing. Each level is written: that cuts the
+    plan, and says when there is none left.
+    """
+    steps = written(edges.select(F.col(above).alias("code"), F.col(below).alias("next")).filter("code IS NOT NULL AND next IS NOT NULL").distinct())
+    now = written(start.select("root", F.col("root").alias("code"), F.lit(0).cast("long").alias("depth")).filter("root IS NOT NULL").distinct())
+    seen, depth = [now], 0
+    while most is None or depth < most:
+        depth += 1
+        ahead = now.join(steps, "code").select("root", F.col("next").alias("code")).distinct()
+        before = reduce(DataFrame.unionAll, seen)
+        now = written(ahead.join(before.select("root", "code"), ["root", "code"], "left_anti").withColumn("depth", F.lit(depth).cast("long")))
+        if now.isEmpty():
+            break
+        seen.append(now)
+        if len(seen) > LEVELS:
+            seen = [written(reduce(DataFrame.unionAll, seen))]
+    return reduce(DataFrame.unionAll, seen)
 
-def _recursive(edges: DataFrame, start: DataFrame, sql: str) -> DataFrame:
-    spark, tag = edges.sparkSession, uuid.uuid4().hex[:8]
-    edges.createOrReplaceTempView(f"edges_{tag}")
-    start.createOrReplaceTempView(f"start_{tag}")
-    try:
-        return spark.sql(sql.format(edges=f"edges_{tag}", start=f"start_{tag}"))
-    finally:  # the plan holds both
-        spark.catalog.dropTempView(f"edges_{tag}")
-        spark.catalog.dropTempView(f"start_{tag}")
 
+def descendants(edges: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
+    """(root, code, depth) of all that is below the roots (root), the root itself at depth 0; the least depth of each.
 
-def descendants(edges: DataFrame, roots: DataFrame, most: int = 40) -> DataFrame:
-    """(root, code, depth) of all that is below the roots (root), the root itself at depth 0; the least depth of each."""
-    found = _recursive(
-        edges,
-        roots.select("root").distinct(),
-        f"""WITH RECURSIVE below(root, code, depth) AS (
-              SELECT root, root, 0 FROM {{start}}
-              UNION ALL
-              SELECT b.root, e.child, b.depth + 1 FROM below b JOIN {{edges}} e ON e.parent = b.code WHERE b.depth < {most})
-            SELECT root, code, CAST(min(depth) AS BIGINT) AS depth FROM below GROUP BY root, code""",
-    )
-    return found
+    most: so many levels; None: all there are.
+    """
+    return _levels(edges, roots, "parent", "child", most)
 
 
 def ancestors(edges: DataFrame, codes: DataFrame, hops: int = HOPS) -> DataFrame:
     """(code, ancestor, hops) within so many steps up from codes (code)."""
-    return _recursive(
-        edges,
-        codes.select("code").distinct(),
-        f"""WITH RECURSIVE up(code, ancestor, hops) AS (
-              SELECT code, code, 0 FROM {{start}}
-              UNION ALL
-              SELECT u.code, e.parent, u.hops + 1 FROM up u JOIN {{edges}} e ON e.child = u.ancestor WHERE u.hops < {hops})
-            SELECT code, ancestor, CAST(min(hops) AS BIGINT) AS hops FROM up GROUP BY code, ancestor""",
-    )
+    found = _levels(edges, codes.select(F.col("code").alias("root")), "child", "parent", hops)
+    return found.select(F.col("root").alias("code"), F.col("code").alias("ancestor"), F.col("depth").alias("hops"))
 
 
 def categories(concepts: DataFrame, members: DataFrame, edges: DataFrame, roots: DataFrame, hops: int = HOPS) -> DataFrame:

@@ -11,16 +11,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity as sim
 from ..functions import text as tx
+from ..storage import written
 
 DIGITS = 6
 MISS = 99
-#: Largest table (bytes of its vectors) that is sent to every task.
-BROADCAST_BYTES = 64 << 20
+#: Distinct n-grams that are laid out at once as a dense matrix.
+GRAMS = 2048
 
 
 def ranked(scored: DataFrame, k: int | None, by: str | list[str], score: Column | str = "score", ties: list[str] | None = None) -> DataFrame:
@@ -42,26 +44,56 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, block: int = 1024
     """
     left = _packed(queries.select(F.col("qid").cast("long").alias("id"), "embedding"), block).select(F.col("ids").alias("qids"), F.col("data").alias("qdata"))
     right = _packed(corpus.select(F.col("cid").cast("long").alias("id"), "embedding"), block).select(F.col("ids").alias("cids"), F.col("data").alias("cdata"))
-    pairs = left.crossJoin(right)
+    pairs = _met(left, right)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for q_ids, q, c_ids, c in zip(*(col.to_pylist() for col in batch.columns)):
-                q_ids, c_ids = np.array(q_ids, np.int64), np.array(c_ids, np.int64)
-                q, c = (np.frombuffer(x, np.float64).reshape(len(i), -1) for x, i in ((q, q_ids), (c, c_ids)))
+            for i in range(batch.num_rows):
+                (q_ids, q), (c_ids, c) = (_block(batch, i, j) for j in (0, 2))
                 scores = np.round(q @ c.T, DIGITS) + 0.0
                 if exclude_same:
                     scores[q_ids[:, None] == c_ids[None]] = -np.inf
-                order = np.argsort(c_ids, kind="stable")
-                n = min(k, len(c_ids))
-                top = order[np.argsort(-scores[:, order], axis=1, kind="stable")[:, :n]]
-                value = np.take_along_axis(scores, top, 1).ravel()
-                keep = np.isfinite(value)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, n)[keep]), pa.array(c_ids[top].ravel()[keep]), pa.array(value[keep])], ["qid", "cid", "score"])
+                row, at = _leaders(scores, np.argsort(np.argsort(c_ids, kind="stable")), k)
+                keep = np.isfinite(scores[row, at])
+                row, at = row[keep], at[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(c_ids[at]), pa.array(scores[row, at])], ["qid", "cid", "score"])
 
     return ranked(pairs.mapInArrow(best, "qid long, cid long, score double"), k, "qid", ties=["cid"])
 
 
+def _block(batch: pa.RecordBatch, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of a block, from the buffers."""
+    ids = batch.column(j)[i].values.to_numpy()
+    return ids, np.frombuffer(batch.column(j + 1)[i].as_buffer(), np.float64).reshape(len(ids), -1)
+
+
+def _leaders(scores: np.ndarray, place: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of the k greatest scores of each row; for equal ones those of the least place."""
+    rows, columns = scores.shape
+    if k >= columns:
+        return np.repeat(np.arange(rows), columns), np.tile(np.arange(columns), rows)
+    # All that is above the k-th score, and of those equal to it the first few.
+    least = np.partition(scores, columns - k, axis=1)[:, columns - k, None]
+    above = scores > least
+    row, at = np.nonzero(scores == least)
+    order = np.lexsort((place[at], row))
+    row, at = row[order], at[order]
+    first = np.searchsorted(row, np.arange(rows))
+    take = np.arange(len(row)) - first[row] < (k - above.sum(axis=1))[row]
+    more, there = np.nonzero(above)
+    return np.concatenate([more, row[take]]), np.concatenate([there, at[take]])
+
+
+def _met(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Every block of one side with every one of the other.
+
+    Both are written: so blocks are made once, and the bytes of a table of blocks are known
+    when Spark decides whether it is small enough (spark.sql.autoBroadcastJoinThreshold) to
+    go to every task, or a product of both sides' partitions it is.
+    """
+    return written(left).crossJoin(written(right))
+
+
 def _packed(vectors: DataFrame, block: int) -> DataFrame:
     """Blocks of unit vectors: (ids, bytes of a float64 matrix)."""
 
@@ -71,51 +103,140 @@ def _packed(vectors: DataFrame, block: int) -> DataFrame:
                 part = batch.slice(i, block)
                 part = part.filter(part.column(1).is_valid())
                 if part.num_rows:
-                    m = np.array(part.column(1).to_pylist(), np.float64)
+                    m = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
                     size = np.sqrt((m * m).sum(axis=1, keepdims=True))
                     yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([(m / np.where(size > 0, size, 1)).tobytes()], pa.binary())], ["ids", "data"])
 
     return vectors.mapInArrow(pack, "ids array<long>, data binary")
 
 
-def pair_topk(queries: DataFrame, corpus: DataFrame, score: Column, k: int, at_least: float | None = None, bound: Column | None = None, ties: list[str] | None = None) -> DataFrame:
-    """The same for any score of two rows (qid, … x cid, …): what cannot reach at_least by the bound isn't scored."""
-    pairs = queries.crossJoin(corpus)
-    if bound is not None and at_least is not None:
-        pairs = pairs.filter(bound >= at_least - 1e-9)
-    scored = pairs.withColumn("score", F.round(score, DIGITS))
-    if at_least is not None:
-        scored = scored.filter(F.col("score") >= at_least)
-    return ranked(scored, k, "qid", ties=ties or ["cid"])
-
-
-def gram_topk(queries: DataFrame, corpus: DataFrame, k: int, text: str = "text", n: int = 3) -> DataFrame:
+def gram_topk(queries: DataFrame, corpus: DataFrame, k: int, text: str = "text", n: int = 3, block: int = 1024) -> DataFrame:
     """queries (qid, text) x corpus (cid, text) -> (qid, cid, score, rank) by cosine of n-gram counts.
 
-    Sparse vectors meet in an equi-join on their n-grams: only pairs that share one
-    are scored, and the n-gram shuffle is combined on the map side.
+    As in vector_topk, both sides lie in blocks, and k candidates of each query leave a
+    pair of blocks: no pair of rows is shuffled, and a common n-gram is no hot key. Inside
+    a pair of blocks, the counts of the n-grams that both have are multiplied as matrices.
+    Only pairs that share an n-gram are scored.
     """
-    q, c = (_sparse(df, i, text, n) for df, i in ((queries, "qid"), (corpus, "cid")))
-    joined = q.join(c, "gram").groupBy("qid", "cid").agg(F.sum(F.col("w_qid") * F.col("w_cid")).alias("d"), F.first("s_qid").alias("s1"), F.first("s_cid").alias("s2"))
-    scored = joined.select("qid", "cid", F.round(F.col("d") / (F.sqrt("s1") * F.sqrt("s2")), DIGITS).alias("score"))
-    return ranked(scored, k, "qid", ties=["cid"])
+    q, c = (_gram_blocks(df.select(F.col(i).alias("id"), sim.grams(F.col(text), n).alias("g")), block) for df, i in ((queries, "qid"), (corpus, "cid")))
+    pairs = _met(q.select(*(F.col(x).alias(f"q_{x}") for x in q.columns)), c)
+    qid, cid = (df.schema[i].dataType.simpleString() for df, i in ((queries, "qid"), (corpus, "cid")))
 
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                q_ids, c_ids = batch.column(0)[i].values, batch.column(5)[i].values
+                dots = np.zeros((len(q_ids), len(c_ids)))
+                left, right = (batch.column(j)[i].values for j in (1, 6))
+                there = pc.index_in(left, value_set=right)
+                both = np.flatnonzero(there.is_valid().to_numpy(zero_copy_only=False))
+                there = there.take(pa.array(both)).to_numpy()
+                a, b = (_Counts(batch, i, j) for j in (2, 7))
+                for at in range(0, len(both), GRAMS):
+                    dots += a.dense(both[at : at + GRAMS], len(q_ids)).T @ b.dense(there[at : at + GRAMS], len(c_ids))
+                scores = np.where(dots > 0, np.round(dots / (a.size(len(q_ids))[:, None] * b.size(len(c_ids))[None]), DIGITS), -np.inf)
+                # The columns are in the order of their ids.
+                row, at = _leaders(scores, np.arange(len(c_ids)), k)
+                keep = np.isfinite(scores[row, at])
+                row, at = row[keep], at[keep]
+                yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(row)), c_ids.take(pa.array(at)), pa.array(scores[row, at])], ["qid", "cid", "score"])
+
+    return ranked(pairs.mapInArrow(best, f"qid {qid}, cid {cid}, score double"), k, "qid", ties=["cid"])
+
+
+class _Counts:
+    """Postings (n-gram, row, count) of a block, sorted by n-gram."""
+
+    def __init__(self, batch: pa.RecordBatch, i: int, j: int):
+        self.end, self.row, self.times = (np.frombuffer(batch.column(j + x)[i].as_buffer(), t) for x, t in enumerate((np.int64, np.int32, np.float64)))
+
+    def dense(self, grams: np.ndarray, rows: int) -> np.ndarray:
+        """grams x rows."""
+        start = np.where(grams > 0, self.end[grams - 1], 0)
+        count = self.end[grams] - start
+        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(start, count)
+        out = np.zeros((len(grams), rows))
+        out[np.repeat(np.arange(len(grams)), count), self.row[at]] = self.times[at]
+        return out
+
+    def size(self, rows: int) -> np.ndarray:
+        return np.sqrt(np.bincount(self.row, weights=self.times * self.times, minlength=rows))
+
+
+def _gram_blocks(grams: DataFrame, block: int) -> DataFrame:
+    """(id, g) -> blocks (ids, grams, end, row, times): sorted ids, distinct n-grams, and postings."""
+    kind = grams.schema["id"].dataType.simpleString()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, block):
+                part = batch.slice(i, block)
+                part = part.filter(part.column(1).is_valid())
+                if not part.num_rows:
+                    continue
+                part = part.take(pc.sort_indices(part.column(0)))
+                row = np.repeat(np.arange(part.num_rows, dtype=np.int32), pc.list_value_length(part.column(1)).to_numpy())
+                coded = part.column(1).flatten().dictionary_encode()
+                cell, times = np.unique(coded.indices.to_numpy().astype(np.int64) * part.num_rows + row, return_counts=True)
+                gram, row = cell // part.num_rows, (cell % part.num_rows).astype(np.int32)
+                end = np.cumsum(np.bincount(gram, minlength=len(coded.dictionary)))
+                ids, names = (pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (part.column(0), coded.dictionary))
+                yield pa.RecordBatch.from_arrays([ids, names, *(pa.array([x.tobytes()], pa.binary()) for x in (end, row, times.astype(np.float64)))], ["ids", "grams", "end", "row", "times"])
 
-def _sparse(df: DataFrame, id_col: str, text: str, n: int) -> DataFrame:
-    """(id, gram, weight, sum of squared weights): counted inside each row, without a shuffle."""
-    g = sim.grams(F.col(text), n)
-    counts = F.transform(F.array_distinct("g"), lambda x: F.struct(x.alias("gram"), F.size(F.filter("g", lambda y: y == x)).cast("double").alias("w")))
-    one = df.select(id_col, g.alias("g")).select(id_col, counts.alias("e"))
-    one = one.withColumn("s", F.aggregate("e", F.lit(0.0).cast("double"), lambda s, x: s + x["w"] * x["w"]))
-    return one.select(id_col, F.explode("e").alias("x"), F.col("s").alias(f"s_{id_col}")).select(id_col, "x.gram", F.col("x.w").alias(f"w_{id_col}"), f"s_{id_col}")
+    return grams.mapInArrow(pack, f"ids array<{kind}>, grams array<string>, end binary, row binary, times binary")
 
 
-def token_topk(queries: DataFrame, corpus: DataFrame, k: int, at_least: float) -> DataFrame:
-    """queries (qid, text) x corpus (cid, text) by token-sort ratio of at least at_least."""
+def token_topk(queries: DataFrame, corpus: DataFrame, k: int, at_least: float, block: int = 1024) -> DataFrame:
+    """queries (qid, text) x corpus (cid, text) by token-sort ratio of at least at_least.
+
+    Both sides lie in blocks. Of a pair of blocks, only those rows meet whose letters, each
+    as often as both have it, are enough for the ratio; these alone are compared in full.
+    """
     q = queries.select("qid", sim.sorted_tokens(F.col("text")).alias("a"))
-    c = corpus.select("cid", sim.sorted_tokens(F.col("text")).alias("b")).withColumn("masks", sim.letter_masks(F.col("b")))
+    c = corpus.select("cid", sim.sorted_tokens(F.col("text")).alias("b"))
+    left, right = _text_blocks(q.select(F.col("qid").alias("id"), F.col("a").alias("t")), block), _text_blocks(c.select(F.col("cid").alias("id"), F.col("b").alias("t")), block)
+    pairs = left.select(F.col("ids").alias("q_ids"), F.col("texts").alias("q_texts"))
+    pairs = _met(pairs, right)
+    qid, cid = (df.schema[i].dataType.simpleString() for df, i in ((queries, "qid"), (corpus, "cid")))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                q_ids, a, c_ids, b = (batch.column(j)[i].values for j in range(4))
+                row, at = np.nonzero(_letter_bound(a, b) >= at_least - 1e-9)
+                row, at = pa.array(row), pa.array(at)
+                yield pa.RecordBatch.from_arrays([q_ids.take(row), a.take(row), c_ids.take(at), b.take(at)], ["qid", "a", "cid", "b"])
+
     a, b = F.col("a"), F.col("b")
-    return pair_topk(q, c, sim.indel_ratio(sim.lcs(a, b, F.col("masks")), a, b), k, at_least, sim.ratio_bound(a, b)).select("qid", "cid", "score", "rank")
+    close = pairs.mapInArrow(near, f"qid {qid}, a string, cid {cid}, b string").withColumn("masks", sim.letter_masks(b))
+    scored = close.withColumn("score", F.round(sim.indel_ratio(sim.lcs(a, b, F.col("masks")), a, b), DIGITS)).filter(F.col("score") >= at_least)
+    return ranked(scored.select("qid", "cid", "score"), k, "qid", ties=["cid"])
+
+
+def _text_blocks(texts: DataFrame, block: int) -> DataFrame:
+    kind = texts.schema["id"].dataType.simpleString()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, block):
+                part = batch.slice(i, block)
+                part = part.filter(part.column(1).is_valid())
+                if part.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), x) for x in part.columns], ["ids", "texts"])
+
+    return texts.mapInArrow(pack, f"ids array<{kind}>, texts array<string>")
+
+
+def _letter_bound(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """a x b: 200 * letters in common, each as often as both have it, by both lengths; no indel ratio is above it."""
+    points = [[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in x.to_pylist()] for x in (a, b)]
+    letters = np.unique(np.concatenate([p for x in points for p in x] or [np.zeros(0, np.uint32)]))
+    counts = [np.array([np.bincount(np.searchsorted(letters, p), minlength=len(letters)) for p in x], np.int32).reshape(len(x), -1) for x in points]
+    both = np.add.outer(*(np.array([len(p) for p in x], np.int64) for x in points))
+    common = np.zeros(both.shape, np.int64)
+    for letter in range(len(letters)):
+        common += np.minimum.outer(counts[0][:, letter], counts[1][:, letter])
+    return np.where(both > 0, 200.0 * common / np.maximum(both, 1), 100.0)
 
 
 def match_level(results: DataFrame, truth: DataFrame, query: str = "qid", fold: bool = True) -> DataFrame:

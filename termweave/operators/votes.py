@@ -16,24 +16,40 @@ def cell_values(cells: DataFrame) -> DataFrame:
     return cells.select("col", "row_id", F.posexplode(tx.valid_values(F.col("cell"))).alias("pos", "value"))
 
 
+def counted(values: DataFrame) -> DataFrame:
+    """(col, value, n, first): each raw value of a column, how often it occurs, and where first. Combined before the shuffle."""
+    return values.groupBy("col", "value").agg(F.count("*").alias("n"), F.min(F.struct("row_id", "pos")).alias("first"))
+
+
+def _shares(counts: DataFrame) -> DataFrame:
+    # A window over a column's values would be one task for each column, however many values it has.
+    totals = counts.groupBy("col").agg(F.sum("n").alias("all"))
+    return counts.join(totals, "col").select("col", "value", "n", (F.col("n") / F.col("all")).alias("freq"))
+
+
 def frequencies(values: DataFrame) -> DataFrame:
     """(col, value, n, freq): shares of raw values."""
-    counts = values.groupBy("col", "value").agg(F.count("*").alias("n"))
-    return counts.withColumn("freq", F.col("n") / F.sum("n").over(Window.partitionBy("col")))
+    return _shares(counted(values))
 
 
 def unique_values(values: DataFrame) -> DataFrame:
     """(col, normed, value): the normalised values that aren't noise, each with the first raw value."""
-    normed = values.withColumn("normed", tx.normalize(F.col("value"))).filter((F.col("normed") != "") & ~F.col("normed").isin(*sorted(tx.NOISE)))
-    return normed.groupBy("col", "normed").agg(F.min_by("value", F.struct("row_id", "pos")).alias("value"))
+    return _unique(counted(values))
+
+
+def _unique(counts: DataFrame) -> DataFrame:
+    normed = counts.withColumn("normed", tx.normalize(F.col("value"))).filter((F.col("normed") != "") & ~F.col("normed").isin(*sorted(tx.NOISE)))
+    return normed.groupBy("col", "normed").agg(F.min_by("value", "first").alias("value"))
 
 
 def weighted(values: DataFrame, cap: int = UNIQUE_CAP) -> DataFrame:
     """(col, normed, value, w, total): log weights of the unique values of columns that have at most cap of them."""
-    unique = unique_values(values).withColumn("k", F.count("*").over(Window.partitionBy("col"))).filter(F.col("k") <= cap)
-    freq = frequencies(values).select("col", "value", "freq")
-    w = unique.join(freq, ["col", "value"], "left").withColumn("w", tx.log_weight(F.coalesce("freq", 1 / F.col("k"))))
-    return w.select("col", "normed", "value", "w", F.sum("w").over(Window.partitionBy("col")).alias("total"))
+    counts = counted(values)
+    unique = _unique(counts)
+    few = unique.groupBy("col").agg(F.count("*").alias("k")).filter(F.col("k") <= cap)
+    freq = _shares(counts.join(few, "col", "left_semi")).select("col", "value", "freq")
+    w = unique.join(few, "col").join(freq, ["col", "value"], "left").withColumn("w", tx.log_weight(F.coalesce("freq", 1 / F.col("k"))))
+    return w.select("col", "normed", "value", "w", F.sum("w").over(Window.partitionBy("col")).alias("total"))  # at most cap rows a column
 
 
 def dictionary_vote(weights: DataFrame, hits: DataFrame, at_least: float = AT_LEAST) -> DataFrame:

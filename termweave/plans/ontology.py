@@ -73,17 +73,19 @@ class OntologyMapper:
         s, k = self.settings, self.settings.top_k
         first = exact.exact_match(queries, self.corpus).select("qid", F.lit(1).cast("bigint").alias("rank"), "label", F.lit(1.0).cast("double").alias("score"), F.lit(1.0).cast("double").alias("stage"))
         rest = exact.residual(queries, first)
+        rest = self.cut(rest)
         normed = exact.normalize_queries(rest, self.corpus).select("qid", F.col("normed").alias("text"))
         if self.abbreviations is not None:
             normed = exact.expand_abbreviations(normed, self.abbreviations).select("qid", F.col("updated").alias("text"))
+        normed = self.cut(normed)
         second = self.cut(self.search2(normed, k).withColumn("score", F.round("score", 4)))
         results = second.withColumn("stage", F.lit(2.0).cast("double")).select(*COLUMNS)
         if self.synonyms:
-            low = fusion.low_confidence(second, s.synonym_below)
+            low = fusion.low_confidence(second, s.synonym_below, normed)
             syn = self.synonyms(rest.join(low.select("qid"), "qid", "left_semi"), k).withColumn("score", F.round("score", 4))
-            results = self.cut(fusion.synonym_boost(second, syn, k, truth if self.use_truth_in_boost else None, s.synonym_below).select(*COLUMNS))
+            results = self.cut(fusion.synonym_boost(second, syn, k, truth if self.use_truth_in_boost else None, s.synonym_below, queries=normed).select(*COLUMNS))
         if self.search3:
-            low = normed.join(fusion.low_confidence(results, s.s3_threshold).select("qid"), "qid", "left_semi")
+            low = normed.join(fusion.low_confidence(results, s.s3_threshold, normed).select("qid"), "qid", "left_semi")
             third = self.search3(low, self.pool if self.scorer else k)
             if self.scorer:
                 named = third.join(low.withColumnRenamed("text", "query"), "qid")
@@ -95,14 +97,15 @@ class OntologyMapper:
                 better = third.withColumn("stage", F.lit(3.0).cast("double")).select(*COLUMNS)
             results = exact.replace_rows(results, better)
         if self.rewrite:
-            low = rest.join(fusion.low_confidence(results, s.s4_threshold).select("qid"), "qid", "left_semi")
+            low = rest.join(fusion.low_confidence(results, s.s4_threshold, rest).select("qid"), "qid", "left_semi")
             results = fusion.replace_by_stage(results, self.cut(self.rewrite(low)), 4.0)
         return first.unionByName(results)
 
 
 def finished(results: DataFrame, queries: DataFrame, truth: DataFrame | None, k: int) -> DataFrame:
-    """The wide view: query, ref_match, match_level, stage, match1, match1_score, …"""
-    view = topk.wide(results, k, extra=["stage"]).join(queries.select("qid", F.col("text").alias("query")), "qid")
+    """The wide view: query, ref_match, match_level, stage, match1, match1_score, …; a query without a result has no stage and no match."""
+    view = queries.select("qid", F.col("text").alias("query")).join(topk.wide(results, k, extra=["stage"]), "qid", "left")
+    view = view.withColumns({f"match{i}_score": F.coalesce(f"match{i}_score", F.lit("0.0000")) for i in range(1, k + 1)})
     if truth is not None:
         view = view.join(truth.select("qid", F.col("curated").alias("ref_match")), "qid", "left").join(topk.match_level(results, truth), "qid", "left")
     return view.drop("qid")

@@ -35,7 +35,8 @@ def cascade(columns: DataFrame, strategies: list[Strategy], cut: Callable[[DataF
     for i, s in enumerate(strategies):
         one = cut(s.run(left).select(*COLUMNS)).withColumns({"method": F.lit(s.name), "_i": F.lit(i)})
         found = one if found is None else found.unionByName(one)
-        left = left.join(one.filter((F.col("rank") == 1) & (F.col("score") >= s.threshold)).select("col"), "col", "left_anti")
+        if i + 1 < len(strategies):  # cut off, so that no strategy runs those before it again
+            left = cut(left.join(one.filter((F.col("rank") == 1) & (F.col("score") >= s.threshold)).select("col"), "col", "left_anti"))
     top = Window.partitionBy("col").orderBy(F.desc("score"), "_i")
     best = found.filter("rank = 1").withColumn("_r", F.row_number().over(top)).filter("_r = 1").select("col", "_i")
     return found.join(best, ["col", "_i"]).drop("_i")
@@ -123,19 +124,20 @@ class SchemaMapper:
     def run(self, cells: DataFrame, columns: DataFrame | None = None) -> DataFrame:
         """(col, stage, method, rank, field, score, source) for cells (row_id, col, cell). columns: all names, if some have no cell."""
         s, k = self.settings, self.settings.top_k
-        columns = cells.select("col").distinct() if columns is None else columns.select("col").distinct()
+        columns = self.cut(cells.select("col").distinct() if columns is None else columns.select("col").distinct())
         out: list[DataFrame] = []
         if self.drop_invalid:
-            bad = votes.invalid_columns(cells).filter("reason IS NOT NULL")
+            bad = self.cut(votes.invalid_columns(cells).filter("reason IS NOT NULL"))
             out.append(bad.select("col", F.lit("invalid").alias("stage"), F.col("reason").alias("method"), F.lit(1).cast("bigint").alias("rank"), F.lit(None).cast("string").alias("field"), F.lit(None).cast("double").alias("score"), F.lit("").alias("source")))
-            columns = columns.join(bad.select("col"), "col", "left_anti")
+            columns = self.cut(columns.join(bad.select("col"), "col", "left_anti"))
         numeric = self.cut(votes.numeric_columns(cells).filter("is_numeric").select("col"))
         left = columns
-        for stage, steps in self._stages(cells, numeric):
+        for stage, make in self._stages(cells, numeric):
+            steps = make(left)
             if steps:
                 found = self.cut(cascade(left, steps, self.cut)).withColumn("stage", F.lit(stage))
                 out.append(found.select("col", "stage", "method", "rank", "field", "score", "source"))
-                left = left.join(found.select("col"), "col", "left_anti")
+                left = self.cut(left.join(found.select("col"), "col", "left_anti"))
         results = out[0]
         for part in out[1:]:
             results = results.unionByName(part)
@@ -147,7 +149,8 @@ class SchemaMapper:
             results = exact.replace_rows(results, new, "col")
         return results.withColumn("score", F.round("score", 4))
 
-    def _stages(self, cells: DataFrame, numeric: DataFrame) -> list[tuple[str, list[Strategy]]]:
+    def _stages(self, cells: DataFrame, numeric: DataFrame) -> list[tuple[str, Callable[[DataFrame], list[Strategy]]]]:
+        """Each stage's name, and its strategies for the columns that are left when it begins."""
         s, k = self.settings, self.settings.top_k
         ranks = lambda df: topk.ranked(df, k, "col", ties=["field"]).select(*COLUMNS)
         one = [Strategy("std_exact", lambda c: ranks(exact.standard_exact(c, self.schema)), 1.0)]
@@ -156,19 +159,26 @@ class SchemaMapper:
         one.append(Strategy("std_fuzzy", fuzzy_standard(self.schema, k, s.fuzzy_thresh), 0.92))
         if self.aliases is not None:
             one.append(Strategy("alias_fuzzy", fuzzy_alias(self.aliases, k, s.fuzzy_thresh), 0.92))
-        two = []
-        texty = lambda c: c.join(numeric, "col", "left_anti")
-        if self.values is not None or self.concepts is not None:
-            weights = lambda c: votes.weighted(votes.cell_values(cells.join(texty(c), "col", "left_semi")), s.value_unique_cap)
-        if self.values is not None:
-            two.append(Strategy("value", lambda c: self._value_votes(weights(c)), s.value_percentage_thresh))
-        if self.concepts is not None:
-            two.append(Strategy("ontology", lambda c: votes.ontology_vote(weights(c), texty(c), self.concepts, k, s.value_percentage_thresh).select("col", "rank", "field", "score", F.col("col").alias("source")), s.value_percentage_thresh))
+
+        def two(left: DataFrame) -> list[Strategy]:
+            out: list[Strategy] = []
+            if self.values is None and self.concepts is None:
+                return out
+            # Cells are read once, for the columns that this stage begins with.
+            texty = self.cut(left.join(numeric, "col", "left_anti"))
+            weights = self.cut(votes.weighted(votes.cell_values(cells.join(texty, "col", "left_semi")), s.value_unique_cap))
+            of = lambda c: weights.join(c, "col", "left_semi")
+            if self.values is not None:
+                out.append(Strategy("value", lambda c: self._value_votes(of(c)), s.value_percentage_thresh))
+            if self.concepts is not None:
+                out.append(Strategy("ontology", lambda c: votes.ontology_vote(of(c), texty.join(c, "col", "left_semi"), self.concepts, k, s.value_percentage_thresh).select("col", "rank", "field", "score", F.col("col").alias("source")), s.value_percentage_thresh))
+            return out
+
         three = [
             Strategy("numeric", lambda c: similar_fields(self.schema, self.aliases, k, True)(c.join(numeric, "col", "left_semi")), s.numeric_thresh),
             Strategy("semantic", similar_fields(self.schema, self.aliases, k), s.field_alias_thresh),
         ]
-        return [("stage1", one), ("stage2", two), ("stage3", three)]
+        return [("stage1", lambda left: one), ("stage2", two), ("stage3", lambda left: three)]
 
     def _value_votes(self, weights: DataFrame) -> DataFrame:
         asked = weights.select("value").distinct()

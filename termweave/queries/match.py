@@ -111,7 +111,7 @@ def _halves(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     for start in (1, 33):
         v = e.select(F.col("vec_id").alias("qid"), F.slice("embedding", start, 32).alias("embedding"))
         hits = topk.vector_topk(v, v.withColumnRenamed("qid", "cid"), K, exclude_same=True)
-        out.append(hits.select("qid", "rank", F.col("cid").cast("string").alias("label"), "score"))
+        out.append(written(hits.select("qid", "rank", F.col("cid").cast("string").alias("label"), "score")))
     return out
 
 
@@ -202,7 +202,7 @@ q0 AS (SELECT qid, lower(CASE WHEN l.label IS NOT NULL THEN left(n, length(n) -
 c0 AS (SELECT code AS cid, lower(label) AS text FROM labels),
 {sparse('q', 'q0', 'qid')}, {sparse('c', 'c0', 'cid')}, {gram_pairs('q', 'c', 'h2', K)},
 s2 AS (SELECT qid, rank, label, round(score, 4) AS score FROM h2 JOIN labels ON code = cid),
-low AS (SELECT qid, score AS top FROM s2 WHERE rank = 1 AND score < 0.9),
+low AS (SELECT qid, coalesce(max(score) FILTER (rank = 1), 0) AS top FROM q0 LEFT JOIN s2 USING (qid) GROUP BY qid HAVING top < 0.9),
 q1 AS (SELECT qid, lower(text) AS text FROM rest WHERE qid IN (SELECT qid FROM low)),
 c1 AS (SELECT code AS cid, lower(array_to_string(list_reverse(string_split(label, ' ')), ' ')) AS text FROM labels),
 {sparse('qs', 'q1', 'qid')}, {sparse('cs', 'c1', 'cid')}, {gram_pairs('qs', 'cs', 'h3', K)},
