@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bestfit_packing, chunk_dedup, html_tagpath, language_hd, repetition, sentencepiece_codec, simhash_dedup, suffix_dedup, token_counts, url_reputation
 
@@ -42,7 +43,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bestfit_packing.pack_documents(_documents(spark, sf_dir))
+    return bestfit_packing.pack_documents(_documents(spark, sf_dir), length=token_counts.tokens(F.col("text")))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

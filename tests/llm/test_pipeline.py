@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 
-from termweave.llm import bestfit_packing, simhash_dedup, suffix_dedup
+from termweave.llm import bestfit_packing, simhash_dedup, suffix_dedup, token_counts
 from termweave.llm.common import written
 from test_repetition import rejected
 from test_suffix_dedup import brute_spans
@@ -69,8 +70,9 @@ def test_stages_against_brute_force(spark, small):
     tokens = Counter()
     for p in packed:
         tokens[p["doc_id"]] += p["n_tokens"]
-    assert tokens == {i: n for i, r in found.items() if (n := len(re.findall(r"\S+", r["text"])))}
+    enc = token_counts.encoding(Path(token_counts.VOCABULARY).read_bytes(), token_counts.PATTERN)
+    assert tokens == {i: n for i, r in found.items() if (n := len(enc.encode_ordinary(r["text"])))}
     run = corpus_pipeline.run(spark, small)
     assert sorted(map(tuple, run.collect())) == sorted(map(tuple, packed))
-    assert run.columns == ["shard", "bin", "bin_offset", "doc_id", "piece", "doc_start", "n_tokens"]
+    assert run.columns == ["bin", "bin_offset", "doc_id", "piece", "doc_start", "n_tokens"]
     assert bestfit_packing.CAPACITY >= max(p["bin_offset"] + p["n_tokens"] for p in packed) and suffix_dedup.WINDOW == 50
