@@ -9,8 +9,8 @@ identifiers alone.
 
 Defined cases: a null text is no copy of anything; empty texts are copies of each
 other; repeated rows count as copies; a null id is carried as null and never
-names a group unless all ids of the group are null; an empty table gives an empty
-result; other columns are ignored (stage: passed on untouched).
+names a group unless all ids of the group are null; a text of any length is read whole;
+of rows with one id and text the stage keeps the first by their other columns; an empty table gives an empty result; other columns are ignored (stage: passed on untouched).
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from .common import blocks, mix, small_batches, tidy, utf8, written
 
@@ -86,7 +87,7 @@ def _contents(hash_bits: int):
     return run
 
 
-def _placed(hash_bits: int, wanted: set[int] | None = None):
+def _placed(hash_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, counts, hashes, content in _chunked(batches, hash_bits):
             row = np.repeat(np.arange(len(counts)), counts)
@@ -108,21 +109,32 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, hash_bits: int) -> Data
     if shared.isEmpty():  # every hash stands for one content: the hash is the identifier
         recipes = recipes.withColumn("recipe", F.transform("recipe", lambda h: F.struct(h.alias("h"), F.lit(0).alias("sub"))))
     else:
+        # At 64 bits some hashes collide among 10**10 chunks: only texts with one of these send their chunks again.
+        recipes = written(recipes)
         number = Window.partitionBy("h").orderBy("chunk")
         subs = chunks.join(shared, "h").select("h", "chunk", F.row_number().over(number).alias("sub"))
-        placed = own.mapInArrow(_placed(hash_bits), "doc_id long, text_key long, ord long, h long, chunk binary")
+        none = F.array().cast("array<struct<h:long,sub:int>>")
+        plain = F.transform("recipe", lambda h: F.struct(h.alias("h"), F.lit(0).alias("sub")))
+        hit = written(recipes.select("text_key", F.explode("recipe").alias("h")).join(shared, "h", "left_semi").select("text_key").distinct())
+        there = own.join(hit, "text_key", "left_semi").select("doc_id", "text_key", "text")
+        placed = there.mapInArrow(_placed(hash_bits), "doc_id long, text_key long, ord long, h long, chunk binary")
         # One recipe per (id, key of the text); rows that share both are the same text.
         lists = placed.join(subs, ["h", "chunk"], "left").groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("ord", F.struct("h", F.coalesce("sub", F.lit(0)).alias("sub")).alias("id")))).alias("l"))
         lists = lists.select("doc_id", "text_key", F.col("l.id").alias("recipe"))
-        none = F.array().cast("array<struct<h:long,sub:int>>")
-        r = recipes.select("doc_id", "text_key").alias("r")
+        r = recipes.join(hit, "text_key", "left_semi").select("doc_id", "text_key").alias("r")
         match = F.col("r.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("r.text_key") == F.col("l.text_key"))
-        recipes = r.join(lists.alias("l"), match, "left").select("r.doc_id", "r.text_key", F.coalesce("recipe", none).alias("recipe"))
+        again = r.join(lists.alias("l"), match, "left").select("r.doc_id", "r.text_key", F.coalesce("recipe", none).alias("recipe"))
+        recipes = recipes.join(hit, "text_key", "left_anti").select("doc_id", "text_key", plain.alias("recipe")).unionByName(again)
     recipes = written(recipes)
     repeated = recipes.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("copies")).filter("copies > 1")
     return recipes.join(repeated, "recipe").select("doc_id", "text_key", "keep_id", "copies")
 
 
+def _orders(kind: DataType) -> bool:
+    """Whether Spark can sort by a type: maps and variants have no order."""
+    return not any(word in kind.simpleString() for word in ("map<", "variant"))
+
+
 def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_bits: int = 64) -> DataFrame:
     """(doc_id, keep_id, copies) for each row whose text occurs more than once; keep_id is the least id."""
     return _groups(docs, id_col, text_col, hash_bits).select("doc_id", "keep_id", "copies")
@@ -144,7 +156,9 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     if again.isEmpty():
         return out.select("row.*")
     # Repeated rows of the one that stays: the first of them in the order of their other columns.
-    once = out.join(again.alias("a"), on("a"), "left_semi").dropDuplicates(["k", "t"])
+    order = [F.col(f"row.{c}") if _orders(t) else F.to_json(F.struct(F.col(f"row.{c}").alias("x"))) for c, t in ((f"`{f.name}`", f.dataType) for f in docs.schema)]
+    first = Window.partitionBy("k", "t").orderBy(*order)
+    once = out.join(again.alias("a"), on("a"), "left_semi").select("row", "k", "t", "none", F.row_number().over(first).alias("nth")).filter("nth = 1").drop("nth")
     return out.join(again.alias("b"), on("b"), "left_anti").unionAll(once).select("row.*")
 
 
