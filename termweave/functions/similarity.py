@@ -66,12 +66,6 @@ def indel_ratio(common: Column, a: Column, b: Column) -> Column:
     return F.when(both == 0, 100.0).otherwise(F.lit(200.0).cast("double") * common / both)
 
 
-def ratio_bound(a: Column, b: Column) -> Column:
-    """No indel ratio of texts with these lengths is above it."""
-    la, lb = F.length(a), F.length(b)
-    return F.lit(200.0).cast("double") * F.least(la, lb) / (la + lb)
-
-
 def edit_distance(a: Column, b: Column) -> Column:
     """Levenshtein distance of names without separators, by the longer one."""
     a, b = (F.regexp_replace(F.lower(x), "[_ ]", "") for x in (a, b))
