@@ -6,12 +6,15 @@ provider. Any failure of a call is an empty answer.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.remote import back_off
+
 Load = Callable[[], Callable[[str], str]]
 
 
@@ -24,12 +27,13 @@ def call(prompts: DataFrame, load: Load, parallel: int = 4, tries: int = 3) -> D
             out = []
             for p in batch.column(0).to_pylist():
                 answer = None
-                for _ in range(tries):
+                for n in range(tries):
                     try:
                         answer = model(p)
                         break
-                    except Exception:  # noqa: BLE001 - a model may fail in any way; the row goes on without an answer
-                        continue
+                    except Exception as e:  # noqa: BLE001 - a model may fail in any way; the row goes on without an answer
+                        if n + 1 < tries:
+                            time.sleep(back_off(n, getattr(e, "retry_after", None), busy=getattr(e, "status", None) == 429 or "429" in str(e)))
                 out.append(answer)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["prompt", "answer"])
 

@@ -67,3 +67,9 @@ def append_missing(table: DataFrame, rows: DataFrame, key: list[str]) -> DataFra
     first = Window.partitionBy(*key).orderBy(*(F.col(c) for c in rows.columns))
     once = rows.withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r")
     return once.join(table.select(*key), key, "left_anti").select(*rows.columns)
+
+
+def first_rows(rows: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
+    """The first n rows of each group; Spark cuts to n before the shuffle."""
+    at = Window.partitionBy(*by).orderBy(*order)
+    return rows.withColumn("_n", F.row_number().over(at)).filter(F.col("_n") <= n).drop("_n")
