@@ -7,7 +7,8 @@ its strength between LEAST and MOST pseudo-counts), and every node's rate is
 shrunk towards its parent's posterior mean. A host's page stays if the upper
 bound of the posterior bad rate, mean + Z standard deviations, is at most BOUND.
 Hosts with few labels lean on their domain, domains on their suffix. Suffixes are
-those of the public suffix list; a registered domain is a suffix and one label.
+those of the public suffix list; a registered domain is a suffix and one label. An
+address (four numbers, or one in brackets) is its own domain and suffix.
 
 The label of a page is that of the document its URL names (the last number of the
 path); it is bad if the document is toxic or of low quality.
@@ -15,8 +16,8 @@ path); it is bad if the document is toxic or of low quality.
 Defined cases: a null or unparsable URL has null host, domain and suffix, its rate
 is that of all labels, and it is judged like any other; without labels the prior
 is uniform (1, 1); null outcomes are no labels; repeated rows count as often as
-they occur; rows with a null id are judged too; empty tables give an empty result;
-other columns are ignored.
+they occur; rows with a null id are judged too; a URL of any length is read whole;
+empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +33,9 @@ LEAST, MOST, Z, BOUND = 2.0, 200.0, 1.645, 0.35
 #: Public suffixes of two labels in the SQL, where all others are the last label; these don't rule what runs in Spark.
 SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "ne.jp", "net.au", "or.jp", "org.au", "org.uk")
 
-_HOST = r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
+_HOST = r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[0-9a-f:.%]+\]|[^/?#:@]+)"
+#: Hosts that are addresses: four numbers, or anything in brackets.
+_ADDRESS = r"^(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}|\[.*)$"
 _NUMBER = r"^[^?#]*?/([0-9]{1,18})(?:\.[a-z]+)?/?(?:[?#].*)?$"
 
 
@@ -46,9 +49,10 @@ def _suffix(rules: tuple[str, ...] | None):
 def parts(url: Column, suffixes: tuple[str, ...] | None = None) -> tuple[Column, Column, Column]:
     """(host, registered domain, suffix) of a URL, by rules as in the public suffix list; None: that list."""
     host = F.nullif(F.rtrim(F.lower(F.regexp_extract(url, _HOST, 1)), F.lit(".")), F.lit(""))
-    suffix = _suffix(suffixes)(host)
+    address = host.rlike(_ADDRESS)
+    suffix = F.when(address, host).otherwise(_suffix(suffixes)(host))
     labels = F.size(F.split(suffix, r"\.")) + 1
-    domain = F.array_join(F.slice(F.reverse(F.slice(F.reverse(F.split(host, r"\.")), F.lit(1), labels)), F.lit(1), labels), ".")
+    domain = F.when(address, host).otherwise(F.array_join(F.slice(F.reverse(F.slice(F.reverse(F.split(host, r"\.")), F.lit(1), labels)), F.lit(1), labels), "."))
     return host, domain, suffix
 
 
@@ -72,7 +76,10 @@ def reputations(pages: DataFrame, labels: DataFrame, url_col: str = "url", suffi
     bad = ((F.col("toxic").cast("int") == 1) | (F.col("quality").cast("int") == 0)).cast("long")
     outcomes = labels.select(F.col("doc_id").cast("long").alias("k"), bad.alias("bad")).filter("k IS NOT NULL AND bad IS NOT NULL").groupBy("k").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
     # Labels of a URL's document; URLs are counted as often as they occur.
-    seen = own.join(outcomes, "k", "left").groupBy("host", "domain", "suffix").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    # Those that name no document take no part in the join: they would all be one key.
+    found = own.filter("k IS NOT NULL").join(outcomes, "k", "left").select("host", "domain", "suffix", "n", "bad")
+    none = own.filter("k IS NULL").select("host", "domain", "suffix", F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("bad"))
+    seen = found.unionAll(none).groupBy("host", "domain", "suffix").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     seen = written(seen)  # one row for each host, read at every level
     all_ = seen.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n0"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad0")).select(((F.col("bad0") + 1) / (F.col("n0") + 2)).alias("m0"))
     level = seen.crossJoin(all_).withColumn("m", F.col("m0"))
