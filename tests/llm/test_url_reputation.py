@@ -95,3 +95,15 @@ def test_few_labels_lean_on_the_domain_under_any_suffix(spark, suffix):
 def test_rules_of_the_public_suffix_list(spark, host, domain, suffix):
     df = spark.createDataFrame([(f"https://{host}/1",)], "url string")
     assert tuple(df.select(*(p.alias(f"p{i}") for i, p in enumerate(url_reputation.parts(F.col("url"))))).first()) == (host, domain, suffix)
+
+
+def test_addresses_are_their_own_domains(spark):
+    urls = ["http://10.0.0.7/a/1", "http://[2001:db8::1]:8080/x", "http://10.0.0.example.com/2", "https://user@[::1]/3"]
+    host, domain, suffix = url_reputation.parts(F.col("url"))
+    found = spark.createDataFrame([(u,) for u in urls], "url string").select("url", host.alias("h"), domain.alias("d"), suffix.alias("s")).collect()
+    assert {r["url"]: r[1:] for r in found} == {
+        urls[0]: ("10.0.0.7",) * 3,
+        urls[1]: ("[2001:db8::1]",) * 3,
+        urls[2]: ("10.0.0.example.com", "example.com", "com"),
+        urls[3]: ("[::1]",) * 3,
+    }
