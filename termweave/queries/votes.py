@@ -8,9 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import votes
 from ..plans import schema
-from ..sources.settings import Settings
 from ..sources.tables import to_cells
-from ..storage import written
 from .common import gram_pairs, norm, sparse, table
 
 #: Columns whose values vote: (table, column, key that orders the rows).
@@ -28,15 +26,27 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CELLS = "cells AS (" + " UNION ALL ".join(f"SELECT {k} AS row_id, '{c}' AS col, {f'''printf('%.2f', {c})''' if c == 'p_retailprice' else c} AS cell FROM {t}" for t, c, k in VOTERS) + ")"
-VALUES = CELLS + """,
-parts AS (SELECT row_id, col, list_filter(list_transform(string_split_regex(cell, ';|<;>|::'), lambda x: trim(x)), lambda x: x <> '' AND lower(x) <> 'na' AND x NOT IN ('<', '>')) AS v FROM cells),
+VALS = """parts AS (SELECT row_id, col, list_filter(list_transform(string_split_regex(cell, ';|<;>|::'), lambda x: trim(x)), lambda x: x <> '' AND lower(x) <> 'na' AND x NOT IN ('<', '>')) AS v FROM cells),
 vals AS (SELECT col, row_id, unnest(generate_series(1, len(v))) - 1 AS pos, unnest(v) AS value FROM parts WHERE len(v) > 0)"""
+VALUES = f"{CELLS}, {VALS}"
 _NOISE = ", ".join(f"'{x}'" for x in ("", *sorted(tx.NOISE)))
-UNIQUE = f"""{VALUES}, nv AS (SELECT *, {norm('value')} AS normed FROM vals),
+
+
+def _unique(of: str | None = None) -> str:
+    return f"""nv AS (SELECT *, {norm('value')} AS normed FROM vals {f'WHERE col IN ({of})' if of else ''}),
 uniq AS (SELECT col, normed, min_by(value, (row_id, pos)) AS value FROM nv WHERE normed NOT IN ({_NOISE}) GROUP BY ALL)"""
+
+
+UNIQUE = f"{VALUES}, {_unique()}"
 FREQ = "fr AS (SELECT col, value, count(*) AS n, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY col) AS freq FROM vals GROUP BY col, value)"
-WEIGHTS = f"""{UNIQUE}, {FREQ}, capped AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY col) AS k FROM uniq) WHERE k <= 50),
+_WEIGHTS = """capped AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY col) AS k FROM uniq) WHERE k <= 50),
 wt AS (SELECT col, normed, value, w, sum(w) OVER (PARTITION BY col) AS total FROM (SELECT c.col, normed, c.value, ln(1 + coalesce(freq, 1.0 / k) * 10) AS w FROM capped c LEFT JOIN fr ON fr.col = c.col AND fr.value = c.value))"""
+WEIGHTS = f"{UNIQUE}, {FREQ}, {_WEIGHTS}"
+
+
+def weights_sql(of: str) -> str:
+    """CTEs from vals to wt, the weights of the values of some columns (a query)."""
+    return f"{_unique(of)}, {FREQ}, {_WEIGHTS}"
 
 
 def unique_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,18 +116,6 @@ def invalid_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 INVALID_COLUMNS = "SELECT * FROM (VALUES ('patient_id', 'id_column'), ('SampleCode', 'id_column'), ('sample_counts', NULL), ('mutation-count', NULL), ('tumor_grade', 'stage_column'), ('ajcc_group', 'stage_column'), ('tnm', 'stage_column'), ('bid', NULL), ('notes', NULL)) AS t(col, reason)"
 
-SCHEMA = (("retail_price", "yes"), ("order_date", ""), ("ship_date", ""), ("order_priority", ""), ("order_status", ""), ("market_segment", ""), ("part_type", ""), ("account_balance", "yes"), ("return_flag", ""), ("event_type", ""), ("treatment_dose", "yes"))
-ALIASES = (("price", "retail_price", "yes"), ("p_retailprice", "retail_price", "yes"), ("mktsegment", "market_segment", ""), ("material kind", "part_type", ""), ("orderstatus", "order_status", ""), ("o orderpriorty", "order_priority", ""), ("acct bal", "account_balance", "yes"))
-
-
-def schema_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The voting columns to a small schema by all strategies that need no model."""
-    target = spark.createDataFrame([(*r, i) for i, r in enumerate(SCHEMA)], "field_name string, is_numeric_field string, ord long")
-    aliases = spark.createDataFrame([(*r, i) for i, r in enumerate(ALIASES)], "source string, field_name string, is_numeric_field string, ord long")
-    mapper = schema.SchemaMapper(target, aliases, values=dictionary(spark, sf_dir), settings=Settings(top_k=3), cut=written)
-    return mapper.run(cells(spark, sf_dir))
-
-
 def column_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stage 3 by itself: every part name as a column, against the part types and brands as fields."""
     p = table(spark, sf_dir, "part")
@@ -141,5 +139,4 @@ QUERIES = {
     "numeric_columns": (numeric_columns, NUMERIC_COLUMNS),
     "invalid_columns": (invalid_columns, INVALID_COLUMNS),
     "column_similarity": (column_similarity, COLUMN_SIMILARITY),
-    "schema_cascade": (schema_cascade, ""),
 }

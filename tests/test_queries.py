@@ -26,6 +26,8 @@ def test_schema_cascade(spark, small):
     assert first["event_type"] == ("stage1", "std_exact", "event_type", 1.0)
     assert first["p_retailprice"] == ("stage1", "alias_exact", "retail_price", 1.0)
     assert first["o_orderstatus"][0] in ("stage1", "stage2") and first["c_mktsegment"][2] in ("market_segment", "segment")
+    assert {c: first[c][2] for c in ("o_orderdate", "l_shipdate", "c_acctbal", "s_acctbal", "l_returnflag")} == {"o_orderdate": "order_date", "l_shipdate": "ship_date", "c_acctbal": "account_balance", "s_acctbal": "account_balance", "l_returnflag": "return_flag"}
+    assert {m for _, m, _, _ in first.values()} >= {"std_exact", "alias_exact", "value", "ontology", "numeric", "semantic"}
     assert first["p_type"][2] == "material"
     assert all(0 <= r["score"] <= 1.4 for r in found.values())
 
