@@ -118,7 +118,7 @@ def gram_topk(queries: DataFrame, corpus: DataFrame, k: int, text: str = "text",
     a pair of blocks, the counts of the n-grams that both have are multiplied as matrices.
     Only pairs that share an n-gram are scored.
     """
-    q, c = (_gram_blocks(df.select(F.col(i).alias("id"), sim.grams(F.col(text), n).alias("g")), block) for df, i in ((queries, "qid"), (corpus, "cid")))
+    q, c = (_gram_blocks(df.filter(F.col(text).isNotNull()).select(F.col(i).alias("id"), sim.grams(F.col(text), n).alias("g")), block) for df, i in ((queries, "qid"), (corpus, "cid")))
     pairs = _met(q.select(*(F.col(x).alias(f"q_{x}") for x in q.columns)), c)
     qid, cid = (df.schema[i].dataType.simpleString() for df, i in ((queries, "qid"), (corpus, "cid")))
 

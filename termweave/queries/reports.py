@@ -10,6 +10,9 @@ from ..operators import clustering, fusion, topk
 from ..operators.callables import rematch_rows
 from ..operators.encoders import HashedGrams
 from ..plans import evaluate, suggest
+from ..sources.tables import to_cells
+from ..storage import written
+from .cascade import cells
 from .common import LABELS, QUERIES as ASKED, gram_pairs, labels, queries, sparse, table
 from .match import K, _HALVES, _halves, ngram_topk
 
@@ -196,11 +199,13 @@ SELECT col, replace(col, '_', ' ') || coalesce(': ' || vs, '') AS text FROM (SEL
 
 
 def suggested_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New fields for the columns of all tables but the vectors."""
-    names = [c for t in ("customer", "supplier", "part", "orders", "lineitem", "nation", "region", "events") for c in table(spark, sf_dir, t).columns]
-    columns = spark.createDataFrame([(n,) for n in names], "col string")
-    found = suggest.suggest(columns, HashedGrams(), config=clustering.ClusterConfig(threshold=0.8, hybrid=True), split=True)
-    return found.drop("sample_values")
+    """New fields for the columns of all tables but the vectors, from their names and values; samples of values as JSON."""
+    every = cells(spark, sf_dir)
+    for name in ("documents", "pages", "benchmark", "labels", "conversations"):
+        every = every.unionByName(to_cells(table(spark, sf_dir, name)))
+    every = written(every.filter("cell IS NOT NULL").groupBy("col", "cell").agg(F.min("row_id").alias("row_id")))  # each value once, where it is first
+    found = suggest.suggest(every.select("col").distinct(), HashedGrams(), every, config=clustering.ClusterConfig(threshold=0.8, hybrid=True), split=True, samples=5)
+    return found.withColumn("sample_values", F.to_json("sample_values"))
 
 
 QUERIES = {

@@ -7,6 +7,7 @@ import functools
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -30,13 +31,35 @@ def _local_dir() -> str:
     return holder.name
 
 
+def _own_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one; it goes when the driver ends."""
+    path = f"{shared_dir(spark)}/termweave-{spark.sparkContext.applicationId}"
+    if path not in _own:
+        _own.add(path)
+        atexit.register(_remove, spark, path)
+    return path
+
+
+_own: set[str] = set()
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(target, True)
+    except (Py4JError, OSError, AttributeError):  # the JVM has ended; what is left has the application's name
+        pass
+
+
 def written(df: DataFrame) -> DataFrame:
     """df computed once, written as Parquet to the shared folder and read again.
 
     It cuts the lineage like a checkpoint: a lost executor costs no recomputation
-    of what came before.
+    of what came before. The tables of an application are in a folder of its own, which
+    is deleted when its driver ends.
     """
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = f"{_own_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_path = path
