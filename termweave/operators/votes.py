@@ -21,6 +21,22 @@ def counted(values: DataFrame) -> DataFrame:
     return values.groupBy("col", "value").agg(F.count("*").alias("n"), F.min(F.struct("row_id", "pos")).alias("first"))
 
 
+def counted_cells(cells: DataFrame) -> DataFrame:
+    """The same from cells, in one pass over them: each distinct cell is split once. A column without values has one row, with a null one."""
+    once = cells.groupBy("col", "cell").agg(F.count("*").alias("k"), F.min("row_id").alias("row_id"))
+    values = once.select("col", "k", "row_id", F.posexplode_outer(tx.valid_values(F.col("cell"))).alias("pos", "value"))
+    return values.groupBy("col", "value").agg(F.sum("k").alias("n"), F.min(F.struct("row_id", "pos")).alias("first"))
+
+
+def numeric_of(counts: DataFrame) -> DataFrame:
+    """numeric_columns from counted values."""
+    filled = F.col("value").isNotNull()
+    n = F.coalesce(F.sum(F.when(filled, F.col("n"))), F.lit(0))
+    hits = F.coalesce(F.sum(F.when(filled & tx.is_number(F.col("value")), F.col("n"))), F.lit(0))
+    stats = counts.groupBy("col").agg(n.alias("n"), F.round(F.when(n > 0, hits / n).otherwise(0.0), 9).alias("share"))
+    return stats.withColumn("is_numeric", (F.col("n") > 0) & (F.col("share") >= NUMERIC_SHARE))
+
+
 def _shares(counts: DataFrame) -> DataFrame:
     # A window over a column's values would be one task for each column, however many values it has.
     totals = counts.groupBy("col").agg(F.sum("n").alias("all"))
@@ -44,7 +60,12 @@ def _unique(counts: DataFrame) -> DataFrame:
 
 def weighted(values: DataFrame, cap: int = UNIQUE_CAP) -> DataFrame:
     """(col, normed, value, w, total): log weights of the unique values of columns that have at most cap of them."""
-    counts = counted(values)
+    return weighted_of(counted(values), cap)
+
+
+def weighted_of(counts: DataFrame, cap: int = UNIQUE_CAP) -> DataFrame:
+    """weighted from counted values."""
+    counts = counts.filter("value IS NOT NULL")
     unique = _unique(counts)
     few = unique.groupBy("col").agg(F.count("*").alias("k")).filter(F.col("k") <= cap)
     freq = _shares(counts.join(few, "col", "left_semi")).select("col", "value", "freq")

@@ -124,15 +124,16 @@ class SchemaMapper:
     def run(self, cells: DataFrame, columns: DataFrame | None = None) -> DataFrame:
         """(col, stage, method, rank, field, score, source) for cells (row_id, col, cell). columns: all names, if some have no cell."""
         s, k = self.settings, self.settings.top_k
-        columns = self.cut(cells.select("col").distinct() if columns is None else columns.select("col").distinct())
+        counts = self.cut(votes.counted_cells(cells))  # all that the stages ask of the cells
+        columns = self.cut((counts if columns is None else columns).select("col").distinct())
         out: list[DataFrame] = []
         if self.drop_invalid:
             bad = self.cut(votes.invalid_columns(cells).filter("reason IS NOT NULL"))
             out.append(bad.select("col", F.lit("invalid").alias("stage"), F.col("reason").alias("method"), F.lit(1).cast("bigint").alias("rank"), F.lit(None).cast("string").alias("field"), F.lit(None).cast("double").alias("score"), F.lit("").alias("source")))
             columns = self.cut(columns.join(bad.select("col"), "col", "left_anti"))
-        numeric = self.cut(votes.numeric_columns(cells).filter("is_numeric").select("col"))
+        numeric = self.cut(votes.numeric_of(counts).filter("is_numeric").select("col"))
         left = columns
-        for stage, make in self._stages(cells, numeric):
+        for stage, make in self._stages(counts, numeric):
             steps = make(left)
             if steps:
                 found = self.cut(cascade(left, steps, self.cut)).withColumn("stage", F.lit(stage))
@@ -149,7 +150,7 @@ class SchemaMapper:
             results = exact.replace_rows(results, new, "col")
         return results.withColumn("score", F.round("score", 4))
 
-    def _stages(self, cells: DataFrame, numeric: DataFrame) -> list[tuple[str, Callable[[DataFrame], list[Strategy]]]]:
+    def _stages(self, counts: DataFrame, numeric: DataFrame) -> list[tuple[str, Callable[[DataFrame], list[Strategy]]]]:
         """Each stage's name, and its strategies for the columns that are left when it begins."""
         s, k = self.settings, self.settings.top_k
         ranks = lambda df: topk.ranked(df, k, "col", ties=["field"]).select(*COLUMNS)
@@ -164,9 +165,8 @@ class SchemaMapper:
             out: list[Strategy] = []
             if self.values is None and self.concepts is None:
                 return out
-            # Cells are read once, for the columns that this stage begins with.
             texty = self.cut(left.join(numeric, "col", "left_anti"))
-            weights = self.cut(votes.weighted(votes.cell_values(cells.join(texty, "col", "left_semi")), s.value_unique_cap))
+            weights = self.cut(votes.weighted_of(counts.join(texty, "col", "left_semi"), s.value_unique_cap))
             of = lambda c: weights.join(c, "col", "left_semi")
             if self.values is not None:
                 out.append(Strategy("value", lambda c: self._value_votes(of(c)), s.value_percentage_thresh))

@@ -9,6 +9,7 @@ from ..functions import text as tx
 from ..operators import votes
 from ..plans import schema
 from ..sources.tables import to_cells
+from ..storage import written
 from .common import gram_pairs, norm, sparse, table
 
 #: Columns whose values vote: (table, column, key that orders the rows).
@@ -69,7 +70,7 @@ DICTIONARY = """dict AS (SELECT DISTINCT 'status' AS field, upper(o_orderstatus)
 
 
 def log_weighted_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = votes.weighted(votes.cell_values(cells(spark, sf_dir)))
+    w = written(votes.weighted_of(votes.counted_cells(cells(spark, sf_dir))))
     d = dictionary(spark, sf_dir)
     hits = w.join(d.withColumnRenamed("value", "v"), F.upper("value") == F.col("v")).select("col", "value", "field", F.lit(1.0).cast("double").alias("sim"))
     return votes.dictionary_vote(w, hits)
