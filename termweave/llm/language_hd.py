@@ -13,8 +13,8 @@ per text is that of its distinct 3-grams.
 Defined cases: texts without letters (null, empty) have language ``und`` and null
 scores; rows with a null language or id don't train; with no training text every
 document is ``und``; ties go to the language that is first by name; repeated rows
-give repeated results; an empty table gives an empty result; other columns are
-ignored.
+give repeated results; a text of any length is bundled whole; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,11 +28,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, two
+from .common import pieces, two, written
 
 DIMENSIONS, TRAIN, SEED = 1024, 500, 7
 #: Symbols: 0 is any run of non-letters, 1-26 are a-z, the rest other letters.
 SYMBOLS = 128
+#: 3-gram vectors in memory at once; cells of the table of counts for each 3-gram there is, up to which the table is made.
+PART, DENSE = 1 << 14, 20
+#: 3-gram vectors that a worker keeps.
+KEPT = 1 << 15
+#: Most ids of training documents that are sent to every task (8 MB).
+SENT = 1_000_000
 
 
 @functools.cache
@@ -47,22 +53,33 @@ def _fold() -> np.ndarray:
 
 
 class Space:
-    """The random letter vectors, and the 3-gram vectors met so far."""
+    """The random letter vectors."""
 
     def __init__(self, dimensions: int = DIMENSIONS, seed: int = SEED):
         letters = np.random.default_rng(seed).integers(0, 2, (SYMBOLS, dimensions), dtype=np.int8) * 2 - 1
         self.places = [np.roll(letters, 2 - k, axis=1) for k in range(3)]
-        self.row = np.full(SYMBOLS**3, -1, np.int32)
-        self.grams = np.zeros((0, dimensions), np.int8)
         self.dimensions = dimensions
+        self.row = np.full(SYMBOLS**3, -1, np.int32)
+        self.kept, self.used = np.empty((KEPT, dimensions), np.int8), 0
+
+    def vectors(self, codes: np.ndarray) -> np.ndarray:
+        """The vectors of some 3-grams."""
+        a, b, c = codes // SYMBOLS**2, codes // SYMBOLS % SYMBOLS, codes % SYMBOLS
+        return self.places[0][a] * self.places[1][b] * self.places[2][c]
 
-    def rows(self, codes: np.ndarray) -> np.ndarray:
+    def rows(self, codes: np.ndarray) -> np.ndarray | None:
+        """Where the vectors of 3-grams are kept; None if these alone are too many (all there can be would take gigabytes)."""
         r = self.row[codes]
-        if len(r) and r.min() < 0:
+        if r.min(initial=0) < 0:
             new = np.unique(codes[r < 0])
-            a, b, c = new // SYMBOLS**2, new // SYMBOLS % SYMBOLS, new % SYMBOLS
-            self.row[new] = len(self.grams) + np.arange(len(new))
-            self.grams = np.concatenate([self.grams, self.places[0][a] * self.places[1][b] * self.places[2][c]])
+            if self.used + len(new) > KEPT:  # start anew
+                self.row[:], self.used = -1, 0
+                new = np.unique(codes)
+            if len(new) > KEPT:
+                return None
+            self.kept[self.used : self.used + len(new)] = self.vectors(new)
+            self.row[new] = self.used + np.arange(len(new))
+            self.used += len(new)
             r = self.row[codes]
         return r
 
@@ -79,12 +96,35 @@ class Space:
         own = doc[2:] == doc[:-2]
         code = (symbol[:-2] * SYMBOLS + symbol[1:-1]) * SYMBOLS + symbol[2:]
         own &= code > 0
-        rows, doc = self.rows(code[own]), doc[2:][own]
-        used = np.flatnonzero(np.bincount(rows, minlength=1))
-        place = np.zeros(len(self.grams) + 1, np.int64)
-        place[used] = np.arange(len(used))
-        counts = np.bincount(doc * len(used) + place[rows], minlength=len(sizes) * len(used)).reshape(len(sizes), len(used))
-        return counts.astype(np.float32) @ self.grams[used].astype(np.float32)
+        code, doc = code[own], doc[2:][own]
+        out = np.zeros((len(sizes), self.dimensions), np.float32)
+        if not len(code):
+            return out
+        rows = self.rows(code)
+        if rows is None:
+            used, column = np.unique(code, return_inverse=True)
+            vectors = lambda x: self.vectors(used[x]).astype(np.float32)
+        else:
+            used = np.flatnonzero(np.bincount(rows))
+            place = np.zeros(used[-1] + 1, np.int64)
+            place[used] = np.arange(len(used))
+            column = place[rows]
+            vectors = lambda x: self.kept[used[x]].astype(np.float32)
+        # A product of counts and vectors where most texts have many of the 3-grams, else a sum over those they have.
+        if len(sizes) * len(used) <= DENSE * len(code):
+            for i in range(0, len(used), PART):
+                n = min(PART, len(used) - i)
+                here = slice(None) if n == len(used) else (column >= i) & (column < i + n)
+                counts = np.bincount(doc[here] * n + (column[here] - i), minlength=len(sizes) * n).reshape(len(sizes), n)
+                out += counts.astype(np.float32) @ vectors(slice(i, i + n))
+            return out
+        cell, times = np.unique(doc * len(used) + column, return_counts=True)
+        doc, column = cell // len(used), cell % len(used)
+        for i in range(0, len(cell), PART):
+            d = doc[i : i + PART]
+            first = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
+            out[d[first]] += np.add.reduceat(vectors(column[i : i + PART]) * times[i : i + PART, None].astype(np.float32), first, axis=0)
+        return out
 
 
 @functools.lru_cache(4)
@@ -117,8 +157,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = ids.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_language).select("doc_id").distinct()
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("lang IS NOT NULL")
-    # chosen has at most per_language rows for each language
-    sums = own.join(F.broadcast(chosen), "doc_id", "left_semi").mapInArrow(_sum(dimensions, seed), "lang string, total array<double>").toPandas()
+    # Sent to every task only if they are few (8 bytes each); else both sides are shuffled.
+    chosen = written(chosen)
+    chosen = F.broadcast(chosen) if chosen.count() <= SENT else chosen
+    parts = own.join(chosen, "doc_id", "left_semi").mapInArrow(_sum(dimensions, seed), "lang string, total array<double>")
+    # One row of sums for each language and dimension comes to the driver.
+    sums = parts.select("lang", F.posexplode("total").alias("d", "x")).groupBy("lang", "d").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("l")).select("lang", F.col("l.x").alias("total")).toPandas()
     total: dict[str, np.ndarray] = {}
     for lang, v in sorted(zip(sums["lang"], sums["total"]), key=lambda x: (x[0], *x[1][:2])):
         total[lang] = total.get(lang, 0) + np.asarray(v)
