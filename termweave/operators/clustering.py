@@ -7,6 +7,7 @@ alone can be had as a distributed self-join.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -164,8 +165,12 @@ def threshold_of(names: list[str], config: ClusterConfig) -> float:
     return config.domain_thresholds[best[2]] if best[0] >= max(1, config.domain_share * len(names)) else config.threshold
 
 
-def coherent_clusters(names: list[str], v: np.ndarray, config: ClusterConfig = ClusterConfig()) -> list[list[int]]:
-    """Nodes of the linkage tree, from the root down, that are small or coherent enough."""
+def coherent_clusters(names: list[str], v: np.ndarray, config: ClusterConfig = ClusterConfig(), judge: Callable[[list[str]], float] | None = None, shown: int = 30) -> list[list[int]]:
+    """Nodes of the linkage tree, from the root down, that are small or coherent enough.
+
+    judge says how coherent some names are in place of their vectors; of more than are
+    shown at once it sees an even sample.
+    """
     n = len(names)
     if n <= config.min_size:
         return [list(range(n))] if n else []
@@ -177,7 +182,11 @@ def coherent_clusters(names: list[str], v: np.ndarray, config: ClusterConfig = C
     out, queue = [], [n + len(merges) - 1]
     for node in queue:
         rows = leaves[node]
-        if config.centroid:
+        if len(rows) <= config.min_size:
+            scs = 1.0
+        elif judge:
+            scs = judge([names[rows[i]] for i in stratified_sample(v[rows], shown)])
+        elif config.centroid:
             u = v[rows] / (np.linalg.norm(v[rows], axis=1, keepdims=True) + 1e-12)
             scs = (float(np.linalg.norm(u.mean(axis=0))) + 1) / 2
         else:

@@ -60,19 +60,20 @@ def confidence(n_clusters: int, signatures: list[tuple[str, ...]], cohesion: flo
     return float(np.clip(EMBEDDING / max(1, n_clusters) + ENTITIES * entities + COHESION * cohesion + SIZE * min(1.0, n / 8), 0, 1))
 
 
-def suggest(columns: DataFrame, encoder: Encoder, cells: DataFrame | None = None, tagger: Callable[[list[str]], list[list[str]]] | None = None, config: clustering.ClusterConfig = clustering.ClusterConfig(), split: bool = False, merge_at: float = 0.75, samples: int = 50) -> DataFrame:
+def suggest(columns: DataFrame, encoder: Encoder, cells: DataFrame | None = None, tagger: Callable[[list[str]], list[list[str]]] | None = None, config: clustering.ClusterConfig = clustering.ClusterConfig(), split: bool = False, merge_at: float = 0.75, samples: int = 50, judge: Callable[[list[str]], float] | None = None, veto: Callable[[list[str]], Callable[[list[int], list[int]], bool]] | None = None) -> DataFrame:
     """(suggested_field, source_columns, ner_entities, confidence, sample_values), best first by confidence.
 
-    Names and vectors of all columns go to one group; linkage can't be spread.
+    Names and vectors of all columns go to one group; linkage can't be spread. judge and veto
+    (made of the names) let a model say what is coherent, and what isn't to be split.
     """
     vectors = encoder.encode(described(columns.select("col").distinct(), cells), "text").select("col", "embedding")
 
     def group(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("col")
         names, v = rows["col"].tolist(), np.array(rows["embedding"].tolist(), float)
-        clusters = clustering.coherent_clusters(names, v, config)
+        clusters = clustering.coherent_clusters(names, v, config, judge)
         if split:
-            clusters = clustering.refine(clusters, v)
+            clusters = clustering.refine(clusters, v, veto=veto(names) if veto else None)
         of = {i: c for c, members in enumerate(clusters) for i in members}
         tags = [sorted(set(t)) for t in tagger(names)] if tagger else [[] for _ in names]
         groups = clustering.merge_by_entity(clusters, tags, v, merge_at) if tagger else clusters

@@ -100,6 +100,22 @@ def test_judges():
     assert veto([0, 1], [2]) and not veto([0], [1, 2])
 
 
+def test_a_judge_decides_on_clusters():
+    rng = np.random.default_rng(1)
+    v = np.concatenate([rng.normal(0, 0.01, (50, 4)) + [1, 0, 0, 0], rng.normal(0, 0.01, (50, 4)) + [0, 1, 0, 0]])
+    names = [f"a{i}" for i in range(50)] + [f"b{i}" for i in range(50)]
+    seen = []
+
+    def judge(some):
+        seen.append(len(some))
+        return 1.0 if len({n[0] for n in some}) == 1 else 0.2
+
+    clusters = clustering.coherent_clusters(names, v, clustering.ClusterConfig(threshold=0.9), judge)
+    assert sorted(map(len, clusters)) == [50, 50] and seen == [30, 30, 30]
+    both = [list(range(100))]
+    assert len(clustering.refine(both, v)) == 2 and clustering.refine(both, v, veto=lambda a, b: True) == both
+
+
 def test_calls_wait_as_they_are_told(spark, monkeypatch):
     assert remote.back_off(2, 7.0) == 7.0 and remote.back_off(0, busy=False) == 0.0 and 2.0 <= remote.back_off(2) <= 4.0
     load = lambda: iter([ValueError("x")]).throw  # noqa: E731 - any failure
