@@ -1,28 +1,26 @@
-"""SimHash near-duplicate groups with pigeonhole blocks.
+"""SimHash near-duplicate groups, exactly those of all pairs.
 
 A document's fingerprint has BLOCKS * BLOCK_BITS bits: each is the majority, over
-the distinct words of the document, of that bit of the words' hashes. It is split
-into BLOCKS blocks. Two fingerprints that differ in fewer than BLOCKS bits share
-a block for certain; up to CLOSE bits they do with a chance that depends on the
-distance (recall over all pairs within CLOSE is measured in the tests). Documents
-are joined on (block number, block value), the full Hamming distance is verified,
-and the groups are the connected components of the verified pairs.
-
-Unrelated documents share a block of w bits documents / 2**w times, so blocks grow
-with the logarithm of the number of fingerprints (`layout`): from 2**24 on they are
-wider than BLOCK_BITS, and there are more of them, cut from fixed permutations of the
-same bits, as many as keep the chance that a pair CLOSE bits apart shares one. So the
-comparisons for each document stay bounded and the recall stays what it is; the rows
-for each document grow as documents to the power 0.23.
-
-What is sent for each block is (block, document, a sketch of SKETCH bits), and of these
-rows only those with a partner whose sketch is near get their fingerprints joined.
-A pair within CLOSE bits has a sketch that isn't near with a chance below 1e-6.
-
-Nothing is capped. Equal fingerprints are one node from the start, and inside a
-block only pairs that aren't already tied are verified, so thousands of copies
-cost a spanning forest and not all their pairs. A block value with more than HOT
-nodes is dealt to parts, and every two parts are compared by a task of their own.
+the distinct words of the document, of that bit of the words' hashes. Two documents
+are near if their fingerprints differ in at most CLOSE bits; the groups are the
+connected components of all such pairs. No pair is left to chance:
+
+Let the parts (blocks) of a fingerprint have radii that with one for each part add up to
+CLOSE + 1 (`radii`). If a pair is near, its differing bits, less the radius and one for each
+part, add up to -1 around the ring of parts. So by the cycle lemma there is a part
+from which on all sums are below 0: it differs in at most its radius, and it and the
+parts after it, k in all, in at most their radii and k - 1. The pairs of the first kind
+are found by looking up all values within the radius (`masks`), those of the second by
+one 64-bit word (`part_words`); what is left is verified by all bits.
+
+Fingerprints are dealt to tables of HOT, and every two tables, or a table and itself,
+meet in a task, or in several that have some parts each if there are fewer than cores.
+So a task's memory is bounded; what is sent and compared grows as the square of the
+fingerprints, with a small factor (README).
+
+Nothing is capped. Equal fingerprints are one node from the start. Inside a task rows
+of one value that are tied are one class, and pairs that are tied aren't compared again,
+so thousands of copies cost a spanning forest and not all their pairs.
 
 Defined cases: documents without words (null, empty, punctuation) and rows with a
 null id are in no group; rows with one id are one document; a text of any length is
@@ -33,7 +31,8 @@ passed on untouched).
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +45,12 @@ from .components import components
 BLOCKS, BLOCK_BITS = 32, 20
 #: Bits of BLOCKS * BLOCK_BITS in which near copies may differ (15 %).
 CLOSE = 96
-#: Bits of a fingerprint that go with each block, and nodes of one block value that a task holds.
-SKETCH, HOT = 128, 1 << 16
+#: Fingerprints of one deal (a task holds two deals), and of a table that is worth a task more.
+HOT, LEAST = 1 << 18, 1 << 10
+#: Pairs that numpy works on at once, close ones that wait to be tied, and how far apart rows of one value are compared first.
+PAIRS, HELD, LAGS = 1 << 16, 1 << 12, (1, 2, 4, 8, 16, 32, 64)
+#: Bits of a sketch.
+SKETCH = 128
 #: Nodes that may share a block value by chance, as a power of two.
 PARTNERS = 4
 
@@ -73,6 +76,9 @@ def fingerprints(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return out, size
 
 
+# layout to ties serve joins on equal blocks, which find near pairs by chance; near_groups doesn't use them.
+
+
 def layout(nodes: int, blocks: int = BLOCKS, block_bits: int = BLOCK_BITS, close: int = CLOSE) -> tuple[int, int]:
     """(blocks, bits of each) for so many fingerprints; blocks and block_bits as long as these are wide enough."""
     width = max(block_bits, min(math.ceil(math.log2(max(nodes, 1))) - PARTNERS, blocks * block_bits))
@@ -231,66 +237,197 @@ def _whole_keys(batches: Iterator[pa.RecordBatch], most: float = math.inf) -> It
         yield table(held), part, part > 0
 
 
-def _near(close: int, hot_rows: int):
-    """Rows sorted by key -> those with a partner of a near sketch; of a key in several parts, all rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, part, hot in _whole_keys(batches, hot_rows):
-            key, node = t.column("key").to_numpy(), t.column("node").to_numpy()
-            if hot:
-                rows = np.arange(len(key))
+def radii(blocks: int, close: int) -> np.ndarray:
+    """Bits in which each part may differ: they and one for each part add up to close + 1 (-1: the part isn't needed)."""
+    least, more = divmod(close - blocks + 1, blocks)
+    return least + (np.arange(blocks) < more)
+
+
+def masks(bits: int, radius: int) -> np.ndarray:
+    """All values of so many bits with at most radius ones, fewest ones first."""
+    rings = [[sum(1 << i for i in ones) for ones in combinations(range(bits), n)] for n in range(min(radius, bits) + 1)]
+    return np.array([m for ring in rings for m in ring], np.int64)
+
+
+def part_words(prints: np.ndarray, first: int, width: int) -> np.ndarray:
+    """width (at most 64) bits of each fingerprint from bit first on, around its end."""
+    own = prints[:, (first // 8 + np.arange(9)) % prints.shape[1]]
+    high = np.ascontiguousarray(own[:, :8]).view(">u8")[:, 0].astype(np.uint64)
+    both = high << np.uint64(first % 8) | own[:, 8].astype(np.uint64) >> np.uint64(8 - first % 8)
+    return both >> np.uint64(64 - width)
+
+
+def _spans(first: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Spans i:j of the rows with first, first + 1, ... (n of each, none 0): about PAIRS at a time."""
+    ends, i = np.cumsum(n), 0
+    while i < len(n):
+        base = int(ends[i - 1]) if i else 0
+        j = max(i + 1, int(np.searchsorted(ends, base + PAIRS, "right")))
+        yield i, j, np.arange(int(ends[j - 1]) - base) + np.repeat(first[i:j] - (ends[i:j] - n[i:j] - base), n[i:j])
+        i = j
+
+
+class _Sorted:
+    """Rows by their value in one part: runs of one value, and in them classes of rows that are tied."""
+
+    def __init__(self, rows: np.ndarray, words: np.ndarray, shift: int, width: int, label: np.ndarray):
+        value = (words[rows] >> np.uint64(shift)).astype(np.int64)
+        own = label[rows]
+        order = np.argsort(value << 22 | own) if width <= 40 and len(label) <= 1 << 22 else np.lexsort((own, value))
+        self.rows, value, own = rows[order], value[order], own[order]
+        new = np.append(True, value[1:] != value[:-1])
+        at = np.flatnonzero(new | np.append(True, own[1:] != own[:-1]))
+        self.at, self.size = at, np.diff(np.append(at, len(rows)))  # where each class begins in rows, its rows
+        self.row, self.value, self.words = self.rows[at], value[at], words[self.rows[at]]  # of its first row
+        self.many = np.flatnonzero(self.size > 1)
+        run = np.flatnonzero(new[at])  # the first class of each run
+        self.run, self.runs = run, np.diff(np.append(run, len(at)))
+        self.by_value = width <= 22
+        if self.by_value:
+            self.first, self.classes = np.zeros(1 << width, np.int32), np.zeros(1 << width, np.int32)
+            self.first[self.value[run]], self.classes[self.value[run]] = run, self.runs
+
+    def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which of the values there are, and the first class and the number of classes of each of these."""
+        if self.by_value:
+            n = self.classes[value]
+            own = np.flatnonzero(n)
+            return own, self.first[value[own]].astype(np.int64), n[own].astype(np.int64)
+        at = np.minimum(np.searchsorted(self.value[self.run], value), len(self.run) - 1)
+        own = np.flatnonzero(self.value[self.run[at]] == value)
+        return own, self.run[at[own]], self.runs[at[own]]
+
+
+def close_ties(prints: np.ndarray, far: np.ndarray | None, blocks: int, close: int, parts: Iterable[int]) -> np.ndarray:
+    """The least row that each row is tied to by the close pairs which these parts find; of all parts, by all close pairs.
+
+    far: only pairs of a row for which it is true and one for which it isn't are sure to be tied, others may be; None: any pairs.
+    """
+    label, width = np.arange(len(prints)), prints.shape[1] * 8 // blocks
+    full = np.ascontiguousarray(prints).view(np.uint64)
+    radius, chain = radii(blocks, close), max(1, min(64 // width, blocks))
+    sides = [np.arange(len(prints))] if far is None else [np.flatnonzero(~far), np.flatnonzero(far)]
+    if not all(map(len, sides)):
+        return label
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def tie(x: np.ndarray, y: np.ndarray) -> None:
+        apart = label[x] != label[y]
+        x, y = x[apart], y[apart]
+        near = np.bitwise_count(full[x] ^ full[y]).sum(axis=1, dtype=np.int64) <= close
+        if near.any():
+            held.append((x[near], y[near]))
+            if sum(len(h) for h, _ in held) > HELD:
+                settle()
+
+    def settle() -> None:
+        if held:
+            _union(label, *map(np.concatenate, zip(*held)))
+            held.clear()
+
+    for part in parts:
+        if radius[part] < 0:
+            continue
+        words, shift = part_words(prints, part * width, chain * width), (chain - 1) * width
+        most = int(radius[(part + np.arange(chain)) % blocks].sum()) + chain - 1
+        order = np.argsort(words)
+        value = words[order] >> np.uint64(shift)
+        for lag in LAGS:  # thousands of copies are one class before any two classes meet
+            same = np.flatnonzero(value[lag:] == value[:-lag])
+            for i in range(0, len(same), PAIRS):
+                tie(order[same[i : i + PAIRS]], order[same[i : i + PAIRS] + lag])
+            settle()
+        one = _Sorted(sides[0], words, shift, width, label)
+        two_ = one if far is None else _Sorted(sides[1], words, shift, width, label)
+
+        def meet(a: np.ndarray, words: np.ndarray, first: np.ndarray, n: np.ndarray) -> None:
+            """The first rows of classes a (of one) and of the n classes from first on (of two_)."""
+            for i, j, b in _spans(first, n):
+                ring = np.flatnonzero(np.bitwise_count(np.repeat(words[i:j], n[i:j]) ^ two_.words[b]) <= most)
+                if len(ring):
+                    tie(one.row[a[i + np.searchsorted(np.cumsum(n[i:j]), ring, "right")]], two_.row[b[ring]])
+
+        def meet_all(x: _Sorted, y: _Sorted, mask: int) -> None:
+            """All rows of those classes of x that have several, and of their classes of y, unless tied."""
+            own, first, n = y.find(x.value[x.many] ^ mask)
+            for i, j, b in _spans(first, n):
+                a = np.repeat(x.many[own[i:j]], n[i:j])
+                apart = np.flatnonzero(label[x.row[a]] != label[y.row[b]])
+                a, b = a[apart], b[apart]
+                for k, l, row in _spans(x.at[a], x.size[a]):
+                    to = np.repeat(b[k:l], x.size[a[k:l]])
+                    for g, h, other in _spans(y.at[to], y.size[to]):
+                        u, v = np.repeat(x.rows[row[g:h]], y.size[to[g:h]]), y.rows[other]
+                        ring = np.bitwise_count(words[u] ^ words[v]) <= most
+                        tie(u[ring], v[ring])
+
+        lower = {}  # each two runs of one table meet once, from the one without the highest bit of the mask
+        for mask in masks(width, int(radius[part])).tolist():
+            if far is None and not mask:
+                n = np.repeat(one.run + one.runs, one.runs) - 1 - np.arange(len(one.at))
+                a = np.flatnonzero(n)
+                meet(a, one.words[a], a + 1, n[a])
             else:
-                same = key[1:] == key[:-1]
-                rows = np.flatnonzero(np.append(same, False) | np.append(False, same))  # the others are alone in their block
-                if not len(rows):
-                    continue
-                sketch = np.stack([t.column(c).to_numpy()[rows] for c in ("s1", "s2")], axis=1)
-                rows = rows[partnered(key[rows], sketch.view(np.uint64), close)]
-            yield pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(node[rows]), pa.array(np.full(len(rows), part))], ["key", "node", "part"])
-        tidy()
-
-    return run
-
-
-def _edges(close: int):
-    """Rows sorted by key -> a spanning forest (u, v) of the close pairs of each key."""
+                top = mask.bit_length() if far is None else 0
+                if top not in lower:
+                    a = np.flatnonzero(one.value >> (top - 1) & 1 == 0) if top else np.arange(len(one.at))
+                    lower[top] = a, one.value[a]
+                a, value = lower[top]
+                own, first, n = two_.find(value ^ mask)
+                a = a[own]
+                meet(a, one.words[a], first, n)
+            if len(one.many):
+                meet_all(one, two_, mask)
+            if far is not None and len(two_.many):
+                meet_all(two_, one, mask)
+        settle()
+    return label
+
+
+def _edges(blocks: int, close: int, dealt: int, turns: int):
+    """Rows (key, far, node, print) sorted by key -> a spanning forest (u, v) of the close pairs of each key's parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, _, _ in _whole_keys(batches):
-            node = t.column("node").to_numpy()
-            label = ties(t.column("key").to_numpy(), _bytes(t.column("print")), close)
-            moved = np.flatnonzero(label != np.arange(len(label)))
-            yield pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[label[moved]])], ["u", "v"])
+        for held, _, _ in _whole_keys(batches):
+            begin, _, _ = _runs(held.column("key").to_numpy())
+            for i, j in zip(begin.tolist(), [*begin[1:].tolist(), len(held)]):
+                t = held.slice(i, j - i)
+                pair, turn = divmod(t.column("key")[0].as_py(), turns)
+                far = t.column("far").to_numpy() if pair // dealt != pair % dealt else None
+                node, prints = t.column("node").to_numpy(), _fixed(t.column("print"))
+                label = close_ties(prints, far, blocks, close, range(turn, blocks, turns))
+                moved = np.flatnonzero(label != np.arange(len(label)))
+                yield pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[label[moved]])], ["u", "v"])
         tidy()
 
     return run
 
 
-def _paired(rows: DataFrame) -> DataFrame:
-    """Rows (key, node, part) with a key in several parts: a row for every other part, keyed by the two."""
-    last = rows.filter("part > 0").groupBy("key").agg(F.max("part").alias("last"))
-    last = written(last)
-    if last.isEmpty():
-        return rows.select("key", "node")
-    own = rows.join(last, "key", "left")
-    one = own.filter("last IS NULL").select("key", "node")
-    other = own.filter("last IS NOT NULL").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "last"))).filter("other <> part")
-    return one.unionAll(other.select(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("key"), "node"))
+def _fixed(column: pa.ChunkedArray) -> np.ndarray:
+    """Fingerprints, all of one length and none null, without an object for each."""
+    if column.num_chunks != 1:
+        return _bytes(column)
+    own = column.chunk(0)
+    ends = np.frombuffer(own.buffers()[1], np.int32 if pa.types.is_binary(own.type) else np.int64)[own.offset : own.offset + len(own) + 1]
+    return np.frombuffer(own.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(len(own), -1)
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blocks: int = BLOCKS, block_bits: int = BLOCK_BITS, close: int = CLOSE, hot: int = HOT) -> DataFrame:
     """(doc_id, group_id, group_size) of every document that has a near copy; group_id is its least id."""
-    if blocks * block_bits % 64 or blocks * block_bits < SKETCH:
-        raise ValueError(f"blocks * block_bits must be whole 64-bit words, {SKETCH} bits at least")
+    if blocks * block_bits % 64 or blocks * block_bits < SKETCH or block_bits > 62:
+        raise ValueError(f"blocks * block_bits must be whole 64-bit words, {SKETCH} bits at least, and block_bits at most 62")
     own = two(docs, id_col, text_col).filter("doc_id IS NOT NULL")
     prints = written(own.mapInArrow(_prints(blocks * block_bits), "doc_id long, print binary"))
     nodes = written(prints.groupBy("print").agg(F.min("doc_id").alias("node")).select("node", "print"))
-    count, width = layout(nodes.count(), blocks, block_bits, close)
-    keyed = nodes.mapInArrow(_keys(count, width), "key long, node long, s1 long, s2 long")
-    rows = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_near(sketch_close(blocks * block_bits, close), hot), "key long, node long, part long")
-    rows = written(rows)
-    whole = _paired(rows).join(nodes, "node").select("key", "node", "print")
-    by_block = whole.repartition("key").sortWithinPartitions("key").mapInArrow(_edges(close), "u long, v long")
+    total = nodes.count()
+    dealt = max(1, -(-total // hot))
+    tasks = max(1, min(2 * docs.sparkSession.sparkContext.defaultParallelism, total // LEAST))
+    turns = min(blocks, -(-tasks // (dealt * (dealt + 1) // 2)))
+    rows = nodes.withColumn("own", F.pmod(F.xxhash64("node"), F.lit(dealt))).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(dealt - 1))))
+    rows = rows.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
+    key = (F.least("own", "other") * dealt + F.greatest("own", "other")) * turns + F.col("turn")
+    rows = rows.select(key.cast("long").alias("key"), (F.col("own") > F.col("other")).alias("far"), "node", "print")
+    by_block = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_edges(blocks, close, dealt, turns), "u long, v long")
     # A document with several rows ties their fingerprints. Copies of a fingerprint join their node at the end.
     docs_of = written(prints.join(nodes, "print").select("doc_id", "node"))
     several = docs_of.groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("most")).filter("v <> most").select("doc_id", "v")

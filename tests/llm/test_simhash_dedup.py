@@ -172,3 +172,87 @@ def test_sketches_of_close_pairs_are_near():
     far = np.bitwise_count(x ^ y).sum(axis=1, dtype=int)
     assert far.max() <= simhash_dedup.sketch_close(BITS, simhash_dedup.CLOSE)
     assert (np.bitwise_count(x ^ x[::-1]).sum(axis=1, dtype=int) > simhash_dedup.sketch_close(BITS, simhash_dedup.CLOSE)).mean() > 0.99
+
+
+def exact_ties(prints: np.ndarray, close: int, far: np.ndarray | None = None) -> list[int]:
+    """The least row of each group of close pairs, pair by pair."""
+    near = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2, dtype=int) <= close
+    if far is not None:
+        near &= far[:, None] != far[None]
+    root = list(range(len(prints)))
+    for a, b in zip(*np.nonzero(np.triu(near, 1))):
+        low, high = sorted((root[a], root[b]))
+        root = [low if r == high else r for r in root]
+    return root
+
+
+def test_groups_are_those_of_all_pairs(spark):
+    """Pairs of short texts up to the very threshold; no block of theirs need be equal."""
+    rng, texts = random.Random(11), {}
+    for i in range(400):
+        words = prose(i, 24).split()
+        texts[2 * i] = " ".join(words)
+        words[rng.randrange(24)] = f"new{i}"
+        if i % 2:
+            words[rng.randrange(24)] = f"more{i}"
+        texts[2 * i + 1] = " ".join(words)
+    root, pairs = brute_groups(texts)
+    prints, _ = simhash_dedup.fingerprints(pa.array([texts[i] for i in range(800)]), BITS)
+    far = [np.bitwise_count(prints[a] ^ prints[b]).sum(dtype=int) for a, b in pairs]
+    assert sum(f > 80 for f in far) > 30, "pairs that blocks find by chance only"
+    for hot in (simhash_dedup.HOT, 300):
+        groups = simhash_dedup.near_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), hot=hot)
+        found = {r["doc_id"]: r["group_id"] for r in groups.collect()}
+        assert {i: found.get(i, i) for i in texts} == root
+
+
+def planted(rng: np.random.Generator, n: int) -> np.ndarray:
+    """Fingerprints in pairs, some CLOSE bits apart and some one more; some with as many bits in each part, or in few parts."""
+    a = rng.integers(0, 2, (n, BITS), dtype=np.uint8)
+    b = a.copy()
+    even, wide = divmod(simhash_dedup.CLOSE, simhash_dedup.BLOCKS), simhash_dedup.BLOCK_BITS
+    assert even == (3, 0)
+    for i, r in enumerate(b):
+        if i % 4 == 0:
+            own = np.concatenate([p * wide + rng.choice(wide, 3, replace=False) for p in range(simhash_dedup.BLOCKS)])
+        elif i % 4 == 1:
+            own = rng.permutation(BITS)[: simhash_dedup.CLOSE]
+        elif i % 4 == 2:
+            own = rng.permutation(BITS)[: simhash_dedup.CLOSE + 1]
+        else:
+            own = np.arange(simhash_dedup.CLOSE) + rng.integers(BITS)
+        r[own % BITS] ^= 1
+    return np.packbits(np.concatenate([a, b]), axis=1)
+
+
+def test_close_ties_are_those_of_all_pairs(monkeypatch):
+    rng = np.random.default_rng(6)
+    prints = planted(rng, 120)
+    copies = np.repeat(prints[:1], 90, axis=0)
+    copies[:, 70:] = rng.integers(0, 256, (90, 10), dtype=np.uint8)
+    copies[::9, 40:70] = rng.integers(0, 256, (10, 30), dtype=np.uint8)
+    prints = rng.permutation(np.concatenate([prints, copies]))
+    every, far = range(simhash_dedup.BLOCKS), rng.random(len(prints)) < 0.5
+    want = exact_ties(prints, simhash_dedup.CLOSE)
+    assert sum(w != i for i, w in enumerate(want)) > 150
+    for pairs in (simhash_dedup.PAIRS, 7):
+        monkeypatch.setattr(simhash_dedup, "PAIRS", pairs)
+        assert simhash_dedup.close_ties(prints, None, simhash_dedup.BLOCKS, simhash_dedup.CLOSE, every).tolist() == want
+        got = simhash_dedup.close_ties(prints, far, simhash_dedup.BLOCKS, simhash_dedup.CLOSE, every).tolist()
+        across = exact_ties(prints, simhash_dedup.CLOSE, far)
+        assert all(got[i] == got[w] for i, w in enumerate(across)), "every pair of the two sides is tied"
+        assert all(want[i] == want[g] for i, g in enumerate(got)), "and nothing that isn't close"
+
+
+def test_parts_of_other_widths_and_thresholds():
+    rng = np.random.default_rng(8)
+    for blocks, close in ((8, 12), (8, 5), (16, 40), (64, 70), (10, 3)):
+        prints = rng.integers(0, 256, (60, 40), dtype=np.uint8)
+        prints[30:] = prints[:30]
+        bits = np.unpackbits(prints, axis=1)
+        for i in range(30, 60):
+            bits[i, rng.permutation(320)[: close + i % 2]] ^= 1
+        prints = np.packbits(bits, axis=1)
+        r = simhash_dedup.radii(blocks, close)
+        assert (r + 1).sum() == close + 1 and r.max() - r.min() <= 1
+        assert simhash_dedup.close_ties(prints, None, blocks, close, range(blocks)).tolist() == exact_ties(prints, close)
