@@ -23,6 +23,8 @@ DIGITS = 6
 MISS = 99
 #: Distinct n-grams that are laid out at once as a dense matrix.
 GRAMS = 2048
+#: Queries of a block that are scored at once, and bytes of corpus blocks that a task of a product holds.
+ROWS, PART = 256, 32 << 20
 
 
 def ranked(scored: DataFrame, k: int | None, by: str | list[str], score: Column | str = "score", ties: list[str] | None = None) -> DataFrame:
@@ -34,37 +36,106 @@ def ranked(scored: DataFrame, k: int | None, by: str | list[str], score: Column
     return (out.filter(F.col("rank") <= k) if k else out).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, block: int = 1024, exclude_same: bool = False) -> DataFrame:
+def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, block: int = 8192, exclude_same: bool = False) -> DataFrame:
     """queries (qid, embedding) x corpus (cid, embedding) -> (qid, cid, score, rank), exact cosine.
 
-    Corpus rows are laid out in blocks (a row for each block of vectors), queries in
-    batches; every pair of a batch and a block is one matrix product, and only k
-    candidates of each query leave it. So the work is spread over both sides: a
-    corpus too large to broadcast meets the queries in a Cartesian product of blocks.
+    Both sides are laid out in blocks (a row for each block of vectors); every pair of blocks
+    is one matrix product. A task meets some blocks of queries with a part of the corpus, keeps
+    the k best of each query over all of that part, and only these leave it. So the work is
+    spread over both sides, and neither has to fit into a task.
     """
-    left = _packed(queries.select(F.col("qid").cast("long").alias("id"), "embedding"), block).select(F.col("ids").alias("qids"), F.col("data").alias("qdata"))
+    left = _packed(queries.select(F.col("qid").cast("long").alias("id"), "embedding"), block).select(F.monotonically_increasing_id().alias("block"), F.col("ids").alias("qids"), F.col("data").alias("qdata"))
     right = _packed(corpus.select(F.col("cid").cast("long").alias("id"), "embedding"), block).select(F.col("ids").alias("cids"), F.col("data").alias("cdata"))
-    pairs = _met(left, right)
+    pairs = _product(written(left), written(right), "qdata", "cdata")
+    kinds = _kind(queries), _kind(corpus)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = found = None
         for batch in batches:
             for i in range(batch.num_rows):
-                (q_ids, q), (c_ids, c) = (_block(batch, i, j) for j in (0, 2))
-                scores = np.round(q @ c.T, DIGITS) + 0.0
-                if exclude_same:
-                    scores[q_ids[:, None] == c_ids[None]] = -np.inf
-                row, at = _leaders(scores, np.argsort(np.argsort(c_ids, kind="stable")), k)
-                keep = np.isfinite(scores[row, at])
-                row, at = row[keep], at[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(c_ids[at]), pa.array(scores[row, at])], ["qid", "cid", "score"])
+                # All blocks of a part come after one another for each block of queries.
+                if batch.column(0)[i].as_py() != at:
+                    if found:
+                        yield found.rows()
+                    at, found = batch.column(0)[i].as_py(), _Best(*_block(batch, i, 1, kinds[0]), k, exclude_same)
+                found.meet(*_block(batch, i, 3, kinds[1]))
+        if found:
+            yield found.rows()
 
     return ranked(pairs.mapInArrow(best, "qid long, cid long, score double"), k, "qid", ties=["cid"])
 
 
-def _block(batch: pa.RecordBatch, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and vectors of a block, from the buffers."""
+def _kind(vectors: DataFrame) -> np.dtype:
+    """What the numbers of a block are kept as."""
+    return np.dtype(np.float32 if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else np.float64)
+
+
+def _block(batch: pa.RecordBatch, i: int, j: int, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and unit vectors of a block, without those that have no direction (NaN, infinite)."""
     ids = batch.column(j)[i].values.to_numpy()
-    return ids, np.frombuffer(batch.column(j + 1)[i].as_buffer(), np.float64).reshape(len(ids), -1)
+    m = np.frombuffer(batch.column(j + 1)[i].as_buffer(), kind).reshape(len(ids), -1).astype(np.float64)
+    size = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    m /= np.where(size > 0, size, 1)
+    fine = np.isfinite(m).all(axis=1)
+    return (ids, m) if fine.all() else (ids[fine], m[fine])
+
+
+class _Best:
+    """The k best of each query of a block, of all corpus blocks that it met.
+
+    Products are made in single precision; what could be among the k by the greatest error
+    of these (and of the rounding) is scored in double precision.
+    """
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, exclude_same: bool):
+        self.ids, self.vectors, self.single, self.k, self.exclude_same = ids, vectors, vectors.astype(np.float32), k, exclude_same
+        self.scores, self.cids = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
+        self.slack = (vectors.shape[1] + 4) * 2.0**-23 + 2 * 10.0**-DIGITS
+
+    def meet(self, c_ids: np.ndarray, c: np.ndarray) -> None:
+        single, place = c.astype(np.float32).T, None
+        same = self.exclude_same and bool(np.isin(c_ids, self.ids).any())
+        for start in range(0, len(self.ids) if len(c_ids) else 0, ROWS):
+            part = slice(start, start + ROWS)
+            near = self.single[part] @ single
+            if same:
+                near[self.ids[part, None] == c_ids[None]] = -np.inf
+            least = self.scores[part, -1] - self.slack
+            new = np.flatnonzero(np.isneginf(least))
+            if len(new) and len(c_ids) > self.k:
+                least[new] = np.partition(near[new], len(c_ids) - self.k, axis=1)[:, len(c_ids) - self.k] - 2 * self.slack
+            rows = np.flatnonzero(near.max(axis=1) >= least)
+            if not len(rows):
+                continue
+            close = (near[rows] >= least[rows, None]) & (near[rows] > -np.inf)
+            # Where very many are close (equal vectors), the rows are scored as a whole.
+            many = close.sum(axis=1) > 8 * self.k + 64
+            if many.any():
+                place = np.argsort(np.argsort(c_ids, kind="stable")) if place is None else place
+                whole = np.round(self.vectors[part][rows[many]] @ c.T, DIGITS) + 0.0
+                whole[~close[many]] = -np.inf
+                row, at = _leaders(whole, place, self.k)
+                keep = np.isfinite(whole[row, at])
+                row, at = row[keep], at[keep]
+                self._take(start + rows[many][row], c_ids[at], whole[row, at])
+                rows, close = rows[~many], close[~many]
+            row, at = np.divmod(np.flatnonzero(close), len(c_ids))
+            row = start + rows[row]
+            self._take(row, c_ids[at], np.round(np.einsum("ij,ij->i", self.vectors[row], c[at]), DIGITS) + 0.0)
+
+    def _take(self, row: np.ndarray, cids: np.ndarray, scores: np.ndarray) -> None:
+        """Puts candidates among the k of their rows."""
+        had = np.unique(row)
+        row, cids, scores = (np.concatenate([x, y]) for x, y in ((row, np.repeat(had, self.k)), (cids, self.cids[had].ravel()), (scores, self.scores[had].ravel())))
+        order = np.lexsort((cids, -scores, row))
+        row, cids, scores = row[order], cids[order], scores[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = rank < self.k
+        self.scores[row[keep], rank[keep]], self.cids[row[keep], rank[keep]] = scores[keep], cids[keep]
+
+    def rows(self) -> pa.RecordBatch:
+        row, at = np.nonzero(np.isfinite(self.scores))
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[row]), pa.array(self.cids[row, at]), pa.array(self.scores[row, at])], ["qid", "cid", "score"])
 
 
 def _leaders(scores: np.ndarray, place: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,18 +165,32 @@ def _met(left: DataFrame, right: DataFrame) -> DataFrame:
     return written(left).crossJoin(written(right))
 
 
+def _product(left: DataFrame, right: DataFrame, *data: str) -> DataFrame:
+    """Every block of one written side with every one of the other, in tasks of a part of each.
+
+    A part of the right side has at most PART bytes: it is held while the left one's blocks pass.
+    There are a few tasks for each core, if there are blocks enough.
+    """
+    (n, _), (m, size) = (df.agg(F.count("*"), F.coalesce(F.sum(F.length(x)), F.lit(0))).first() for df, x in zip((left, right), data))
+    tasks = 3 * left.sparkSession.sparkContext.defaultParallelism
+    lefts = max(1, min(n, tasks))
+    rights = max(1, min(m, max(-(-size // PART), -(-tasks // lefts))))
+    return left.repartition(lefts).hint("shuffle_replicate_nl").crossJoin(right.repartition(rights))
+
+
 def _packed(vectors: DataFrame, block: int) -> DataFrame:
-    """Blocks of unit vectors: (ids, bytes of a float64 matrix)."""
+    """Blocks of vectors: (ids, bytes of a matrix)."""
+    kind = _kind(vectors)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, block):
-                part = batch.slice(i, block)
-                part = part.filter(part.column(1).is_valid())
-                if part.num_rows:
-                    m = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
-                    size = np.sqrt((m * m).sum(axis=1, keepdims=True))
-                    yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([(m / np.where(size > 0, size, 1)).tobytes()], pa.binary())], ["ids", "data"])
+            batch = batch.filter(batch.column(1).is_valid())
+            count = -(-batch.num_rows // block)
+            for i in range(count):
+                start, end = batch.num_rows * i // count, batch.num_rows * (i + 1) // count
+                part = batch.slice(start, end - start)
+                m = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(kind)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([m.tobytes()], pa.binary())], ["ids", "data"])
 
     return vectors.mapInArrow(pack, "ids array<long>, data binary")
 

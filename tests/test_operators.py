@@ -37,6 +37,33 @@ def test_vector_topk_against_numpy(spark):
     assert got == sorted(wanted, key=repr)
 
 
+@pytest.mark.parametrize("block", (3, 8192))
+def test_vector_topk_of_equal_and_odd_vectors(spark, block):
+    rows = [(i, [1.0, 0.0]) for i in range(300)] + [(300, [0.0, 1.0]), (301, [float("nan"), 1.0]), (302, [0.0, 0.0]), (303, None), (304, [float("inf"), 1.0])]
+    e = spark.createDataFrame(rows, "qid long, embedding array<float>").repartition(3)
+    found = {}
+    for r in topk.vector_topk(e, e.withColumnRenamed("qid", "cid"), 3, block=block, exclude_same=True).collect():
+        found.setdefault(r["qid"], {})[r["rank"]] = (r["cid"], r["score"])
+    least = lambda q: dict(enumerate([i for i in range(300) if i != q][:3], 1))
+    assert set(found) == {*range(301), 302}
+    assert all({r: c for r, (c, s) in found[q].items()} == least(q) for q in found)
+    assert all(s == (1.0 if q < 300 else 0.0) for q in found for _, s in found[q].values())
+
+
+def test_k_of_a_query_are_kept_over_all_blocks():
+    rng = np.random.default_rng(2)
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    q, c = unit(rng.normal(size=(700, 4))), unit(rng.normal(size=(900, 4)))
+    best = topk._Best(np.arange(700), q, 5, True)
+    for i in range(0, 900, 50):
+        best.meet(np.arange(i, i + 50), c[i : i + 50])
+    found = best.rows()
+    s = np.round(q @ c.T, topk.DIGITS)
+    s[np.arange(700), np.arange(700)] = -np.inf
+    assert found.num_rows == 700 * 5
+    assert np.array_equal(found.column(2).to_numpy().reshape(700, 5), -np.sort(-s, axis=1)[:, :5])
+
+
 def test_topk_of_nothing(spark):
     none = spark.createDataFrame([], "qid long, embedding array<float>")
     assert topk.vector_topk(none, none.withColumnRenamed("qid", "cid"), 3).count() == 0
