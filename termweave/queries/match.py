@@ -105,14 +105,22 @@ s AS (SELECT *, round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list
 SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, label) AS rank, label, similarity_score, score FROM s QUALIFY rank <= 3"""
 
 
+def _search(spark: SparkSession, sf_dir: str, start: int, asked: DataFrame | None = None) -> DataFrame:
+    """A search of the vectors by 32 dimensions from start; labels are ids as text. asked (qid): the queries, if not all."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("qid"), F.slice("embedding", start, 32).alias("embedding"))
+    hits = topk.vector_topk(v if asked is None else v.join(asked, "qid", "left_semi"), v.withColumnRenamed("qid", "cid"), K, exclude_same=True)
+    return written(hits.select("qid", "rank", F.col("cid").cast("string").alias("label"), "score"))
+
+
 def _halves(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    """Two searches of the vectors: by their first and by their last 32 dimensions; labels are ids as text."""
-    e, out = table(spark, sf_dir, "embeddings"), []
-    for start in (1, 33):
-        v = e.select(F.col("vec_id").alias("qid"), F.slice("embedding", start, 32).alias("embedding"))
-        hits = topk.vector_topk(v, v.withColumnRenamed("qid", "cid"), K, exclude_same=True)
-        out.append(written(hits.select("qid", "rank", F.col("cid").cast("string").alias("label"), "score")))
-    return out
+    """Two searches of the vectors: by their first and by their last 32 dimensions."""
+    return [_search(spark, sf_dir, start) for start in (1, 33)]
+
+
+def _weak_halves(spark: SparkSession, sf_dir: str, below: float) -> list[DataFrame]:
+    """The same, the second for those queries alone whose first search found little."""
+    a = _search(spark, sf_dir, 1)
+    return [a, _search(spark, sf_dir, 33, fusion.low_confidence(a, below))]
 
 
 def _half(name: str, start: int) -> str:
@@ -134,7 +142,7 @@ MAX_MERGE = f"WITH {_HALVES}, {_MERGED} SELECT qid, rank, label, score FROM merg
 
 
 def synonym_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = _halves(spark, sf_dir)
+    a, b = _weak_halves(spark, sf_dir, 0.5)
     return fusion.synonym_boost(a, b, K, below=0.5)
 
 
@@ -169,7 +177,7 @@ SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, label)
 
 def stage4_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rewritten candidates of weak queries replace theirs, but for those that got nothing."""
-    a, b = _halves(spark, sf_dir)
+    a, b = _weak_halves(spark, sf_dir, 0.5)
     weak = b.join(fusion.low_confidence(a, 0.5), "qid", "left_semi").withColumn("label", F.when((F.col("qid") % 4 == 0) & (F.col("rank") == 1), "N/A").otherwise(F.col("label")))
     return fusion.replace_by_stage(a.withColumn("stage", F.lit(2.0).cast("double")), weak, 4.0)
 
@@ -179,7 +187,7 @@ SELECT qid, rank, label, score, 2.0::DOUBLE AS stage FROM s2 WHERE qid NOT IN (S
 
 
 def wide_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk.wide(topk.padded(_halves(spark, sf_dir)[0].filter(F.col("score") > 0.4), table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("qid")), 3), 3)
+    return topk.wide(topk.padded(_search(spark, sf_dir, 1).filter(F.col("score") > 0.4), table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("qid")), 3), 3)
 
 
 WIDE_VIEW = f"""WITH {_half('s2', 1)}, g AS (SELECT * FROM s2 WHERE score > 0.4)

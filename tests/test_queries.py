@@ -5,7 +5,7 @@ from __future__ import annotations
 import holding
 import pytest
 
-from termweave.queries import ALL
+from termweave.queries import ALL, match
 
 
 @pytest.mark.parametrize("name", [n for n, (_, sql) in ALL.items() if sql])
@@ -20,6 +20,14 @@ def test_query_agrees_with_sql(spark, duck, small, name):
     assert found, "a query of no rows shows nothing"
 
 
+@pytest.mark.parametrize("name, whole", (("wide_view", 1), ("stage4_replace", 1), ("synonym_boost", 1), ("rrf_fusion", 2)))
+def test_no_search_is_made_for_nothing(spark, small, monkeypatch, name, whole):
+    made, search, n = [], match.topk.vector_topk, spark.read.parquet(f"{small}/embeddings.parquet").count()
+    monkeypatch.setattr(match.topk, "vector_topk", lambda q, *more, **named: made.append(q.count()) or search(q, *more, **named))
+    ALL[name][0](spark, small).count()
+    assert made.count(n) == whole and len(made) <= 2
+
+
 def test_schema_cascade(spark, small):
     found = {(r["col"], r["rank"]): r for r in ALL["schema_cascade"][0](spark, small).collect()}
     first = {c: (r["stage"], r["method"], r["field"], r["score"]) for (c, rank), r in found.items() if rank == 1}
