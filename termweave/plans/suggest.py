@@ -32,8 +32,8 @@ def described(columns: DataFrame, cells: DataFrame | None, top: int = 5) -> Data
     if cells is None or top <= 0:
         return columns.select("col", tx.column_text(F.col("col")).alias("text"))
     numeric = votes.numeric_columns(cells).filter("is_numeric").select("col")
-    # collect_set of clipped values: no more than the column has, cut to `top` after sorting
-    values = cells.filter("cell IS NOT NULL").join(numeric, "col", "left_anti").select("col", F.substring("cell", 1, 30).alias("v")).distinct()
+    # Clipped before anything is sent. The numeric columns, a row for each, go to every task: a join by hash would send all values of a column to one.
+    values = cells.filter("cell IS NOT NULL").select("col", F.substring("cell", 1, 30).alias("v")).join(F.broadcast(numeric), "col", "left_anti").distinct()
     first = values.withColumn("r", F.row_number().over(Window.partitionBy("col").orderBy("v"))).filter(F.col("r") <= top)
     lists = first.groupBy("col").agg(F.array_sort(F.collect_list("v")).alias("vs"))
     none = F.array().cast("array<string>")

@@ -106,3 +106,16 @@ def test_stream_gives_the_same_as_a_batch(spark, corpus, asked, tmp_path):
     map_stream(stream, mapper.run, str(tmp_path / "out"), str(tmp_path / "marks")).awaitTermination(120)
     out = spark.read.parquet(str(tmp_path / "out")).drop("batch")
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, mapper.run(asked.select("qid", "text")).collect()))
+
+
+def test_described_sends_no_column_to_one_task(spark):
+    rows = [(i, c, v) for i in range(4) for c, v in (("n", str(i)), ("t", "x" * 40 + str(i)), ("u", f"v{i}"))]
+    cells = spark.createDataFrame(rows, "row_id long, col string, cell string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = suggest.described(cells.select("col").distinct(), cells)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert all("BroadcastHashJoin" in line for line in plan.splitlines() if "Join" in line and "LeftAnti" in line)
+        assert {tuple(r) for r in df.collect()} == {("n", "n"), ("t", "t: " + "x" * 30), ("u", "u: v0, v1, v2, v3")}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
