@@ -10,7 +10,6 @@ import re
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,17 +69,27 @@ def put_in_order(model: Order, query: str, labels: list[str], shown: int = SHOWN
 def by_lists(candidates: DataFrame, load: Callable[[], Order], k: int, shown: int = SHOWN, onward: int = ONWARD) -> DataFrame:
     """candidates (qid, query, rank, label, score) -> (qid, rank, label, similarity_score, score) by a model of lists.
 
-    The score falls from 1 by equal steps. The candidates of one query are a pool of bounded size.
+    The score falls from 1 by equal steps. The candidates of one query are a pool of bounded size, a row to the model's worker.
     """
 
-    def group(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("rank").drop_duplicates("label")
-        labels = rows["label"].tolist()
-        order = put_in_order(load(), rows["query"].iloc[0], labels, shown, onward)
-        was = dict(zip(labels, rows["score"]))
-        n = len(order)
-        return pd.DataFrame({"qid": rows["qid"].iloc[0], "rank": range(1, n + 1), "label": order, "similarity_score": [was[x] for x in order], "score": [round(1 - i / n, DIGITS) for i in range(n)]}).head(k)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = load()
+        for rows in batches:
+            at, rank, said, was, scores = [], [], [], [], []
+            for i, (query, some) in enumerate(zip(rows.column(1).to_pylist(), rows.column(2).to_pylist())):
+                own: dict[str, float] = {}
+                for x in some:
+                    own.setdefault(x["label"], x["score"])
+                order = put_in_order(model, query, list(own), shown, onward)
+                first = order[:k]
+                at += [i] * len(first)
+                rank += range(1, len(first) + 1)
+                said += first
+                was += [own[x] for x in first]
+                scores += [round(1 - n / len(order), DIGITS) for n in range(len(first))]
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(at, pa.int64())), pa.array(rank, pa.int64()), pa.array(said, pa.string()), pa.array(was, pa.float64()), pa.array(scores, pa.float64())], ["qid", "rank", "label", "similarity_score", "score"])
 
     kind = candidates.schema["qid"].dataType.simpleString()
     own = candidates.select("qid", "query", "rank", "label", "score").filter("query IS NOT NULL AND label IS NOT NULL")
-    return own.groupBy("qid").applyInPandas(group, f"qid {kind}, rank long, label string, similarity_score double, score double")
+    lists = own.groupBy("qid").agg(F.min_by("query", "rank").alias("query"), F.array_sort(F.collect_list(F.struct("rank", "label", "score"))).alias("some"))
+    return lists.mapInArrow(run, f"qid {kind}, rank long, label string, similarity_score double, score double")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import holding
 import pytest
 
-from termweave.queries import ALL, match
+from termweave.queries import ALL, common, match, models
 
 
 @pytest.mark.parametrize("name", [n for n, (_, sql) in ALL.items() if sql])
@@ -28,6 +28,15 @@ def test_no_search_is_made_for_nothing(spark, small, monkeypatch, name, whole):
     assert made.count(n) == whole and len(made) <= 2
 
 
+def test_list_rerank_orders_each_text_once(spark, small, monkeypatch):
+    texts = [r["text"] for r in common.queries(spark, small).collect()]
+    made, search = [], models.topk.gram_topk
+    monkeypatch.setattr(models.topk, "gram_topk", lambda q, *more: made.append(q.count()) or search(q, *more))
+    found = ALL["list_rerank"][0](spark, small)
+    assert made == [len(set(texts))] and made[0] < len(texts)
+    assert found.select("qid").distinct().count() == len(texts)
+
+
 def test_schema_cascade(spark, small):
     found = {(r["col"], r["rank"]): r for r in ALL["schema_cascade"][0](spark, small).collect()}
     first = {c: (r["stage"], r["method"], r["field"], r["score"]) for (c, rank), r in found.items() if rank == 1}
