@@ -54,7 +54,7 @@ def key(c: Column) -> Column:
 
 def normalize(c: Column) -> Column:
     """Lower-case ASCII letters and digits, all else one space."""
-    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(c, "[^a-zA-Z0-9]", " ")), r"\s+", " "))
+    return F.trim(F.lower(F.regexp_replace(c, "[^a-zA-Z0-9]+", " ")))
 
 
 def clean_query(c: Column) -> Column:
@@ -65,8 +65,10 @@ def clean_query(c: Column) -> Column:
 
 def valid_values(cell: Column) -> Column:
     """The values of a cell with several (``;``, ``<;>``, ``::``), without blanks and NA."""
-    parts = F.transform(F.split(cell, ";|<;>|::"), lambda x: F.trim(x))
-    return F.filter(parts, lambda x: (x != "") & (F.lower(x) != "na") & ~x.isin("<", ">"))
+    valid = lambda x: (x != "") & (F.lower(x) != "na") & ~x.isin("<", ">")
+    one = F.when(valid(F.trim(cell)), F.array(F.trim(cell))).otherwise(F.array().cast("array<string>"))
+    parts = F.filter(F.transform(F.split(cell, ";|<;>|::"), lambda x: F.trim(x)), valid)
+    return F.when(~cell.contains(";") & ~cell.contains("::"), one).otherwise(parts)  # most cells have one value, and need no pattern
 
 
 def enum_values(cell: Column) -> Column:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
+from ..storage import written
 from .topk import ranked
 
 UNIQUE_CAP, AT_LEAST, NAME_BONUS, NUMERIC_SHARE, STAGE_SHARE = 50, 0.2, 0.3, 0.9, 0.8
@@ -23,7 +27,34 @@ def counted(values: DataFrame) -> DataFrame:
 
 def counted_cells(cells: DataFrame) -> DataFrame:
     """The same from cells, in one pass over them: each distinct cell is split once. A column without values has one row, with a null one."""
-    once = cells.groupBy("col", "cell").agg(F.count("*").alias("k"), F.min("row_id").alias("row_id"))
+    return _split(cells.groupBy("col", "cell").agg(F.count("*").alias("k"), F.min("row_id").alias("row_id")))
+
+
+def counted_table(table: DataFrame, row_id: str) -> DataFrame:
+    """(col, cell, k, row_id) of a wide table's columns (row_id is one of them): how often a cell occurs and where first. Each is grouped by its own type: only distinct values become text."""
+    out = None
+    for f in table.schema:
+        c, keys = F.col(f"`{f.name}`"), {}
+        if f.dataType.typeName() in ("float", "double"):
+            # Groups don't tell -0.0 from 0.0, texts do.
+            keys = {"v": c, "zero": F.when(c == 0, c.cast("string"))}
+            cell = F.coalesce("zero", F.col("v").cast("string"))
+        else:
+            keys = {"v": c if isinstance(f.dataType, T.AtomicType) else c.cast("string")}
+            cell = F.col("v").cast("string")
+        once = table.groupBy(*(x.alias(n) for n, x in keys.items())).agg(F.count("*").alias("k"), F.min(F.col(f"`{row_id}`").cast("long")).alias("row_id"))
+        once = once.select(F.lit(f.name).alias("col"), cell.alias("cell"), "k", "row_id")
+        out = once if out is None else out.unionByName(once)
+    return out
+
+
+def counted_tables(tables: list[tuple[DataFrame, str]]) -> DataFrame:
+    """counted_cells of the columns of wide tables, each with the column that numbers its rows."""
+    return _split(reduce(DataFrame.unionByName, (counted_table(t, row_id) for t, row_id in tables)))
+
+
+def _split(once: DataFrame) -> DataFrame:
+    """(col, value, n, first) of cells (col, cell, k, row_id) that occur k times, first in row_id."""
     values = once.select("col", "k", "row_id", F.posexplode_outer(tx.valid_values(F.col("cell"))).alias("pos", "value"))
     return values.groupBy("col", "value").agg(F.sum("k").alias("n"), F.min(F.struct("row_id", "pos")).alias("first"))
 
@@ -38,9 +69,9 @@ def numeric_of(counts: DataFrame) -> DataFrame:
 
 
 def _shares(counts: DataFrame) -> DataFrame:
-    # A window over a column's values would be one task for each column, however many values it has.
+    # A window over a column's values, or a join by the column's hash, would be one task for each column, however many values it has.
     totals = counts.groupBy("col").agg(F.sum("n").alias("all"))
-    return counts.join(totals, "col").select("col", "value", "n", (F.col("n") / F.col("all")).alias("freq"))
+    return counts.join(F.broadcast(totals), "col").select("col", "value", "n", (F.col("n") / F.col("all")).alias("freq"))
 
 
 def frequencies(values: DataFrame) -> DataFrame:
@@ -53,9 +84,12 @@ def unique_values(values: DataFrame) -> DataFrame:
     return _unique(counted(values))
 
 
+def _normed(counts: DataFrame) -> DataFrame:
+    return counts.withColumn("normed", tx.normalize(F.col("value"))).filter(~F.col("normed").isin("", *sorted(tx.NOISE)))
+
+
 def _unique(counts: DataFrame) -> DataFrame:
-    normed = counts.withColumn("normed", tx.normalize(F.col("value"))).filter((F.col("normed") != "") & ~F.col("normed").isin(*sorted(tx.NOISE)))
-    return normed.groupBy("col", "normed").agg(F.min_by("value", "first").alias("value"))
+    return _normed(counts).groupBy("col", "normed").agg(F.min_by("value", "first").alias("value"))
 
 
 def weighted(values: DataFrame, cap: int = UNIQUE_CAP) -> DataFrame:
@@ -66,9 +100,10 @@ def weighted(values: DataFrame, cap: int = UNIQUE_CAP) -> DataFrame:
 def weighted_of(counts: DataFrame, cap: int = UNIQUE_CAP) -> DataFrame:
     """weighted from counted values."""
     counts = counts.filter("value IS NOT NULL")
+    few = written(_normed(counts).select("col", "normed").distinct().groupBy("col").agg(F.count("*").alias("k")).filter(F.col("k") <= cap))
+    counts = written(counts.join(F.broadcast(few), "col"))  # written, else what follows is done for all values before the join
     unique = _unique(counts)
-    few = unique.groupBy("col").agg(F.count("*").alias("k")).filter(F.col("k") <= cap)
-    freq = _shares(counts.join(few, "col", "left_semi")).select("col", "value", "freq")
+    freq = _shares(counts).select("col", "value", "freq")
     w = unique.join(few, "col").join(freq, ["col", "value"], "left").withColumn("w", tx.log_weight(F.coalesce("freq", 1 / F.col("k"))))
     return w.select("col", "normed", "value", "w", F.sum("w").over(Window.partitionBy("col")).alias("total"))  # at most cap rows a column
 

@@ -121,10 +121,13 @@ class SchemaMapper:
     drop_invalid: bool = False
     cut: Callable[[DataFrame], DataFrame] = staticmethod(lambda df: df)
 
-    def run(self, cells: DataFrame, columns: DataFrame | None = None) -> DataFrame:
-        """(col, stage, method, rank, field, score, source) for cells (row_id, col, cell). columns: all names, if some have no cell."""
+    def run(self, cells: DataFrame, columns: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
+        """(col, stage, method, rank, field, score, source) for cells (row_id, col, cell).
+
+        columns: all names, if some have no cell. counts: the cells counted (votes.counted_tables), if that is had for less.
+        """
         s, k = self.settings, self.settings.top_k
-        counts = self.cut(votes.counted_cells(cells))  # all that the stages ask of the cells
+        counts = self.cut(votes.counted_cells(cells) if counts is None else counts)  # all that the stages ask of the cells
         columns = self.cut((counts if columns is None else columns).select("col").distinct())
         out: list[DataFrame] = []
         if self.drop_invalid:
@@ -166,7 +169,8 @@ class SchemaMapper:
             if self.values is None and self.concepts is None:
                 return out
             texty = self.cut(left.join(numeric, "col", "left_anti"))
-            weights = self.cut(votes.weighted_of(counts.join(texty, "col", "left_semi"), s.value_unique_cap))
+            own = self.cut(counts.join(F.broadcast(texty), "col", "left_semi"))  # cut off, else all values are normalised before the join
+            weights = self.cut(votes.weighted_of(own, s.value_unique_cap))
             of = lambda c: weights.join(c, "col", "left_semi")
             if self.values is not None:
                 out.append(Strategy("value", lambda c: self._value_votes(of(c)), s.value_percentage_thresh))

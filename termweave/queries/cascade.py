@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators import votes
 from ..plans import schema
 from ..sources.settings import Settings
 from ..sources.tables import to_cells
@@ -49,7 +50,8 @@ def schema_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     aliases = spark.createDataFrame([(*r, i) for i, r in enumerate(ALIASES)], "source string, field_name string, is_numeric_field string, ord long")
     concepts = spark.createDataFrame(list(CONCEPTS), "text string, field string")
     mapper = schema.SchemaMapper(target, aliases, values=dictionary(spark, sf_dir), concepts=concepts, settings=Settings(top_k=K), cut=written)
-    return mapper.run(cells(spark, sf_dir))
+    counts = votes.counted_tables([(table(spark, sf_dir, name).select(*columns), columns[0]) for name, columns in TABLES.items()])
+    return mapper.run(cells(spark, sf_dir), counts=counts)
 
 
 # --- the same in SQL ------------------------------------------------------------

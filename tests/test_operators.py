@@ -235,3 +235,30 @@ def test_average_linkage_against_brute_force():
     for i, (a, b) in enumerate(clustering.average_linkage(d)):
         leaves[12 + i] = leaves[a] + leaves[b]
         assert sorted(leaves[12 + i]) == wanted[i]
+
+
+def test_tables_are_counted_as_their_cells_are(spark):
+    from termweave.sources.tables import to_cells
+
+    table = spark.sql("SELECT * FROM VALUES (1L, 0.0D, 1.5F, 'a; b', timestamp'2020-01-01', true, 1.50, cast(null as int)), (2L, -0.0D, -0.0F, ' b::NA;<', timestamp'2020-01-01 00:00:00.5', false, 1.50, null), (3L, double('nan'), float('inf'), null, null, null, null, null), (4L, 1e20D, 1.5F, 'NA', timestamp'2020-01-01', true, 0.00, null), (-5L, -0.0D, 0.0F, '', null, null, null, null) AS t(k, d, f, s, t, b, n, e)")
+    wide = table.select("k", *(F.col(c).cast("string").alias(c) for c in table.columns if c != "k"))
+    cells = to_cells(wide.withColumn("_k", F.col("k")), "_k")
+    said = lambda df: sorted(map(str, df.collect()))
+    assert said(votes.counted_tables([(table, "k")])) == said(votes.counted_cells(cells))
+    assert "-0.0" in {r["value"] for r in votes.counted_tables([(table, "k")]).collect()}
+
+
+def test_values_of_a_cell_with_and_without_marks(spark):
+    from termweave.functions import text as tx
+
+    cells = {None: None, "": [], " ": [], "NA": [], " na ": [], "<": [], ">": [], " a b ": ["a b"], "a;b": ["a", "b"], "a<;>b": ["a", "b"], "a::b": ["a", "b"], "a:b": ["a:b"], "::": [], ";": [], "x;NA": ["x"], "a<b": ["a<b"]}
+    df = spark.createDataFrame([(c,) for c in cells], "cell string")
+    # As every cell was split before.
+    parts = F.transform(F.split("cell", ";|<;>|::"), lambda x: F.trim(x))
+    before = F.filter(parts, lambda x: (x != "") & (F.lower(x) != "na") & ~x.isin("<", ">"))
+    rows = df.select("cell", tx.valid_values(F.col("cell")).alias("v"), before.alias("w")).collect()
+    assert all(r["v"] == r["w"] for r in rows)
+    assert {r["cell"]: r["v"] for r in rows if r["cell"] != "a<;>b"} == {c: v for c, v in cells.items() if c != "a<;>b"}
+    names = spark.createDataFrame([(x,) for x in ("A_b--C", " é1\t", "😀x😀", "", "K İ")], "x string")
+    old = F.trim(F.regexp_replace(F.lower(F.regexp_replace("x", "[^a-zA-Z0-9]", " ")), r"\s+", " "))
+    assert all(r[0] == r[1] for r in names.select(tx.normalize(F.col("x")), old).collect())
